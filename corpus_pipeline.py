@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opfold.llm import phrases, simhash
-from opfold.llm.common import read, written
+from opfold.llm import mixing, phrases, quality, simhash, toxicity
+from opfold.llm.common import kept_by_score, read, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return kept_by_score(docs, quality.scores_of(spark, model), lambda scores: scores >= quality.THRESHOLD)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier marks as toxic go."""
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return kept_by_score(docs, toxicity.scores_of(spark, model), lambda scores: scores < toxicity.THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +30,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return phrases.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("decontamination", decontaminate)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its place in a mixture of the sources by target weight."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality_classifier", quality_filter), ("toxicity", toxicity_filter), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]
+#: The classifiers, SimHash components and the schedule are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 

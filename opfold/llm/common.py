@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,25 +59,65 @@ def crc_mod(column, n: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
 
 
-def crc_mod_of(value: int, n: int) -> int:
-    return zlib.crc32(str(value).encode()) % n
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample to learn ``label`` from, and how many rows each value has.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
-    """At most ``rows`` labelled rows outside the held-out fold, as (label, text).
-
-    Rows are taken by the hash of their id, so the sample is spread over the
-    whole table and the same in every run. Rows whose label or text is null or
-    whose labels contradict each other are left out; a label given twice counts
-    once, and so does a document given twice.
+    The sample has (doc_id, label, text) of at most ``rows`` labelled documents
+    of each value outside the held-out fold, taken by the hash of their id, so
+    that it is spread over the whole table and the same in every run. Null and
+    contradicting labels are left out; a label or document given twice counts
+    once.
     """
     own = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .filter(crc_mod(F.col("doc_id"), folds) != held)
         .groupBy("doc_id")
-        .agg(F.min(label).alias("__y"), F.max(label).alias("__z"))
-        .filter(F.col("__y") == F.col("__z"))
+        .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("__z"))
+        .filter(F.col("label") == F.col("__z"))
+        .select("doc_id", "label")
     )
-    bounded = own.select("doc_id", F.col("__y").cast("int").alias("label"), F.xxhash64("doc_id").alias("__h")).orderBy("__h", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(bounded), "doc_id").dropDuplicates(["doc_id", "text"])
+    counts = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bounded = [own.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    return texts.join(F.broadcast(bounded[0].union(bounded[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text"), counts
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic model (the last is the constant), by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    weight = weight / weight.sum()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + ridge * np.append(w[:-1], 0)
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.diag(np.append(np.ones(len(w) - 1), 1e-9))
+        step = np.linalg.solve(curve, slope)
+        w -= step / max(1.0, np.abs(step).max() / 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def scored(docs: DataFrame, score_of, name: str = "score") -> DataFrame:
+    """doc_id and ``score_of(list of bytes or None)`` of every row, in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.cast(batch.column(1), pa.binary())
+            scores = np.concatenate([np.zeros(0), *(score_of(texts.slice(at, 256).to_pylist()) for at in range(0, batch.num_rows, 256))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", name])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {name} double")
+
+
+def kept_by_score(docs: DataFrame, score_of, keep) -> DataFrame:
+    """The rows, with all their columns, whose text's score satisfies ``keep``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.cast(batch.column(at), pa.binary())
+            scores = np.concatenate([np.zeros(0), *(score_of(texts.slice(k, 256).to_pylist()) for k in range(0, batch.num_rows, 256))])
+            yield batch.filter(pa.array(keep(scores), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
