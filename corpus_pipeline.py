@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two benchmark items or more go."""
-    return phrases.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    """Documents with a window of any benchmark item go."""
+    return phrases.decontaminate(docs, read(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
