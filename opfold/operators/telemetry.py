@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def usable(requests: DataFrame, path_bytes: int) -> DataFrame:
     """Requests with an address and a path, the path cut to so many bytes (a character cut in two goes whole)."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode("path", "UTF-8"), 1, path_bytes), "UTF-8"), "�$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode("path", "UTF-8"), 1, path_bytes).cast("string")), "\uFFFD+$", "")
     return requests.filter((F.col("ip") != "") & (F.col("path") != "")).withColumn("path", F.when(F.octet_length("path") > path_bytes, cut).otherwise(F.col("path")))
 
 
