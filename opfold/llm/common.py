@@ -65,8 +65,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     The sample has (doc_id, label, text) of at most ``rows`` labelled documents
     of each value outside the held-out fold, taken by the hash of their id, so
     that it is spread over the whole table and the same in every run. Null and
-    contradicting labels are left out; a label or document given twice counts
-    once.
+    contradicting labels are left out; a label given twice counts once, and so
+    does a document (its least text).
     """
     own = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -79,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bounded = [own.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(bounded[0].union(bounded[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text"), counts
+    return texts.join(F.broadcast(bounded[0].union(bounded[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:

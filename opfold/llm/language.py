@@ -80,10 +80,12 @@ class Parser:
         self.tables, self.bits = [], []
         for name in self.names:
             step, size = suffix_automaton(folded[name].translate(self.classes))
-            table = np.full((len(step), self.width), -1, np.int32)
+            lost = len(step)  # where an unseen byte leads: a phrase of its own
+            table = np.full((len(step) + 1, self.width), -1, np.int32)
             for state, to in enumerate(step):
                 table[state, list(to)] = list(to.values())
-            first = np.where(table[0] >= 0, table[0], 0)
+            first = np.where(table[0] >= 0, table[0], lost)
+            table[0] = first  # the root is left once, at the start, without ending a phrase
             full = np.where(table >= 0, table * self.width, ~(first * self.width)[None, :]).astype(np.int32)
             full[:, -1] = 0
             self.tables.append(full.ravel())

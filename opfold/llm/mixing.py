@@ -20,7 +20,8 @@ tasks. Only the sources' counts reach the driver; the schedule's tables have
 sources x period rows at most.
 
 A null source is a source of its own. Repeated rows are documents of their own.
-An empty table gives no rows.
+An empty table gives no rows. Columns named like this operator's own are
+replaced by them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS, PERIOD, BUCKETS, MAX_SOURCES = 32, 1024, 1024, 512
+OUTPUT = ("mix_slot", "mix_block", "mix_index", "mix_phase", "mix_release", "mix_deadline")
 
 
 def quotas(weights: dict[int, float], period: int) -> dict[int, int]:
@@ -95,13 +97,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     weight is its number of documents to the power ``power``.
     """
     spark = docs.sparkSession
-    taken = [c for c in docs.columns if c.lower().startswith("__mix")]
-    if taken:
-        raise ValueError(f"columns named {taken} are this operator's own")
     spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(buckets)).cast("int")
-    own = docs.withColumn("__mix_source", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))).withColumn("__mix_bucket", spread)
-    counts = own.groupBy("__mix_source", "__mix_bucket").agg(F.count("*").alias("n"))
-    sizes = {r[0]: r[1] for r in counts.groupBy("__mix_source").agg(F.sum("n")).limit(MAX_SOURCES + 1).collect()}
+    order = F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").alias("b"), (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("c"))
+    # the row travels as one struct, so no column of it can clash with those here
+    own = docs.select(F.struct(*[c for c in docs.columns if c not in OUTPUT]).alias("row"), F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source"), spread.alias("bucket"), order.alias("o"))
+    counts = own.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    sizes = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     names = sorted(sizes)
@@ -111,25 +112,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     while period < 8 * len(names):
         period *= 2
     phases, places = schedule({k: -(-sizes[s] // block_docs) for k, s in enumerate(names)}, {k: float(given[s]) for k, s in enumerate(names)}, period)
-    phase_rows = spark.createDataFrame([(names[s], *rest) for s, *rest in phases], "__mix_source string, __mix_phase int, __mix_first long, __mix_end long, __mix_start long, __mix_quota int")
-    place_rows = spark.createDataFrame([(names[s], *rest) for s, *rest in places], "__mix_source string, __mix_phase int, __mix_k long, __mix_place long")
-    before = counts.withColumn("__mix_before", F.sum("n").over(Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("__mix_source", "__mix_bucket", F.coalesce("__mix_before", F.lit(0)).alias("__mix_before"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")] + ([F.xxhash64("text")] if "text" in docs.columns else [])
-    ranked = own.withColumn("__mix_rank", F.row_number().over(Window.partitionBy("__mix_source", "__mix_bucket").orderBy(*order)) - 1)
-    numbered = ranked.join(before, ["__mix_source", "__mix_bucket"]).withColumn("__mix_rank", F.col("__mix_rank") + F.col("__mix_before"))
-    blocked = numbered.withColumn("mix_block", F.floor(F.col("__mix_rank") / block_docs)).withColumn("mix_index", (F.col("__mix_rank") % block_docs).cast("int"))
-    inside = (F.col("mix_block") >= F.col("__mix_first")) & (F.col("mix_block") < F.col("__mix_end"))
-    b = F.broadcast  # at most sources x sources and sources x sources x period rows, both set by MAX_SOURCES and the counts above
-    phased = blocked.join(b(phase_rows), (blocked["__mix_source"] == phase_rows["__mix_source"]) & inside).drop(phase_rows["__mix_source"]).withColumn("__mix_n", F.col("mix_block") - F.col("__mix_first"))
-    phased = phased.withColumn("__mix_k", F.col("__mix_n") % F.col("__mix_quota"))
-    placed = phased.join(b(place_rows), ["__mix_source", "__mix_phase", "__mix_k"])
-    n, quota, start = F.col("__mix_n"), F.col("__mix_quota"), F.col("__mix_start")
+    phase_rows = spark.createDataFrame([(names[s], *rest) for s, *rest in phases], "source string, phase int, first long, end long, start long, quota int")
+    place_rows = spark.createDataFrame([(names[s], *rest) for s, *rest in places], "source string, phase int, k long, place long")
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("o")) - 1)
+    numbered = ranked.join(before, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    blocked = numbered.withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("index", (F.col("rank") % block_docs).cast("int")).select("row", "source", "block", "index")
+    # both tables are bounded: phases and places by MAX_SOURCES and the period, whatever the number of documents
+    own_phase = (blocked["source"] == phase_rows["source"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
+    phased = blocked.join(F.broadcast(phase_rows), own_phase).drop(phase_rows["source"]).withColumn("n", F.col("block") - F.col("first")).withColumn("k", F.col("n") % F.col("quota"))
+    placed = phased.join(F.broadcast(place_rows), ["source", "phase", "k"])
+    n, quota, start = F.col("n"), F.col("quota"), F.col("start")
     return placed.select(
-        *[docs[c] for c in docs.columns],
-        (start + F.floor(n / quota) * period + F.col("__mix_place")).cast("long").alias("mix_slot"),
-        F.col("mix_block").cast("long").alias("mix_block"),
-        "mix_index",
-        F.col("__mix_phase").alias("mix_phase"),
+        "row.*",
+        (start + F.floor(n / quota) * period + F.col("place")).cast("long").alias("mix_slot"),
+        F.col("block").cast("long").alias("mix_block"),
+        F.col("index").alias("mix_index"),
+        F.col("phase").alias("mix_phase"),
         (start + F.floor(n * period / quota)).cast("long").alias("mix_release"),
         (start + F.ceil((n + 1) * period / quota)).cast("long").alias("mix_deadline"),
     )

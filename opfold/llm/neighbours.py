@@ -124,9 +124,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the rows that take part, an id once."""
     v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", lambda x: x.isNotNull()))
-    del finite
     rows = rows.filter(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
     return rows.join(F.broadcast(length), F.size("v") == F.col("n"), "left_semi").groupBy("vec_id").agg(F.min(F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))

@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     y = np.array([r.label for r in got], float)
     mean = y.mean() if len(y) else 0.0
     weight = np.where(y == 1, share / mean, (1 - share) / (1 - mean)) if 0 < mean < 1 else np.ones(len(y))
-    return Model(np.array([r.x for r in got]).reshape(len(got), -1), y, weight, share)
+    return Model(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), y, weight, share)
 
 
 def scores_of(spark, model: Model):
