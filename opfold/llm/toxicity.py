@@ -33,7 +33,7 @@ FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 #: Bytes saved at which a window counts.
 EVIDENCE = (1, 2, 3, 4, 6)
 THIRDS = 3
-ROWS, MAX_BYTES, WORDS, BASE_BYTES, TOXIC_BYTES, LEVEL, CONTRAST, LEAST = 3000, 16_000, 12, 32 << 10, 8 << 10, 9, 3.5, 8
+ROWS, MAX_BYTES, WORDS, BASE_BYTES, TOXIC_BYTES, LEVEL, CONTRAST, LEAST = 2000, 16_000, 12, 32 << 10, 8 << 10, 9, 3.5, 8
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -55,19 +55,33 @@ def grams(word: bytes) -> set[bytes]:
     return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
 
 
-def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """Texts without near copies: no two share the least hash of word pairs."""
+def signature(words: list[bytes]) -> tuple[int, int] | None:
+    """The least and the largest hash of word pairs; near copies share one of them."""
+    hashes = [xxhash.xxh64_intdigest(a + b" " + b, 7) for a, b in zip(words, words[1:], strict=False)]
+    return (min(hashes), max(hashes)) if hashes else None
+
+
+def unlike(texts: list[tuple[list[bytes], tuple[int, int] | None]]) -> list[list[bytes]]:
+    """Texts without near copies, by their signatures."""
     seen: set[int] = set()
     out = []
-    for words in texts:
-        pairs = {xxhash.xxh64_intdigest(a + b" " + b, 7) for a, b in zip(words, words[1:], strict=False)}
-        if not pairs or (low := min(pairs)) in seen or (high := max(pairs)) in seen:
+    for words, mark in texts:
+        if mark is None or seen & set(mark):
             continue
-        seen |= {low, high}
+        seen.update(mark)
         out.append(words)
     return out
 
 
+def contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
+    """After how many different words each word occurs."""
+    ids: dict[bytes, int] = {}
+    codes = np.array([ids.setdefault(w, len(ids)) for words in texts for w in (b"", *words)], np.int64)
+    pairs = np.unique(codes[:-1] * len(ids) + codes[1:]) % len(ids)
+    counts = np.bincount(pairs, minlength=len(ids))
+    return {w: int(counts[i]) for w, i in ids.items() if w}
+
+
 class Model:
     """Dictionaries and calibration; it is sent to the workers as bytes and numbers."""
 
@@ -98,16 +112,14 @@ class Model:
 def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
     """The base of ordinary text and the words that mark toxic text, the strongest last."""
     found: list[Counter[bytes]] = []
-    times: list[Counter[bytes]] = []
-    for texts in (ordinary, toxic):
-        pairs = {(a, b) for words in texts for a, b in zip([b"", *words], words, strict=False)}
-        times.append(Counter(w for _, w in pairs))
-        own: Counter[bytes] = Counter()
-        for w, c in times[-1].items():
+    times = [contexts(ordinary), contexts(toxic)]
+    for own in times:
+        count: Counter[bytes] = Counter()
+        for w, c in own.items():
             for g in grams(w):
-                own[g] += c
-        found.append(own)
-    n0, n1 = max(1, times[0].total()), max(1, times[1].total())
+                count[g] += c
+        found.append(count)
+    n0, n1 = (max(1, sum(own.values())) for own in times)
     contrast = {g: float(np.log((c + 0.5) / n1) - np.log((found[0].get(g, 0) + 0.5) / n0)) for g, c in found[1].items() if c >= LEAST}
     marks: dict[bytes, float] = {}
     for w, c in times[1].items():
@@ -133,18 +145,24 @@ def train(sample: list[tuple[int, int, bytes]], counts: dict[int, int]) -> Model
     """
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     sample = sorted(sample, key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-    x, y = [], []
-    parts = [[unlike([words_of(t) for i, (_, y, t) in enumerate(sample) if y == k and i % THIRDS != held]) for k in (0, 1)] for held in range(THIRDS)]
-    whole = [unlike([words_of(t) for _, y, t in sample if y == k]) for k in (0, 1)]
-    if any(not texts for part in [*parts, whole] for texts in part):
-        return Model(b"", b"", share)
-    for held, part in enumerate(parts):
-        model = Model(*dictionaries(*part), share)
+    shared: dict[bytes, bytes] = {}  # a word is kept once, however many texts hold it
+    texts = []
+    for _, label, text in sample:
+        words = [shared.setdefault(w, w) for w in words_of(text)]
+        texts.append((label, (words, signature(words))))
+    x, y = np.zeros((len(sample), len(Model(b"", b"", share).evidence(b""))) if sample else (0, 1)), np.array([label for label, _ in texts], float)
+
+    def without(held: int | None) -> list[list[list[bytes]]]:
+        return [unlike([t for i, (label, t) in enumerate(texts) if label == k and (held is None or i % THIRDS != held)]) for k in (0, 1)]
+
+    for held in range(THIRDS):
+        kinds = without(held)
+        if not all(kinds):
+            return Model(b"", b"", share)
+        model = Model(*dictionaries(*kinds), share)
         for i in range(held, len(sample), THIRDS):
-            x.append(model.evidence(sample[i][2]))
-            y.append(sample[i][1])
-    model = Model(*dictionaries(*whole), share)
-    x, y = np.array(x), np.array(y, float)
+            x[i] = model.evidence(sample[i][2])
+    model = Model(*dictionaries(*without(None)), share)
     model.center, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.weights = logistic((x - model.center) / model.scale, y, weight)
