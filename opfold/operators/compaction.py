@@ -6,7 +6,7 @@ deletion overwritten later does not raise the horizon.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opfold.functions.lww import stamp
@@ -14,9 +14,15 @@ from opfold.schemas import RECORD_OPS, SCHEMA_OPS
 
 
 def _not_superseded(ops: DataFrame, key: tuple[str, ...], grace: str) -> DataFrame:
-    """All but the old rows with a later one on their key; ties stay. The later row may be of any age."""
-    best = F.max(stamp()).over(Window.partitionBy(*key))
-    return ops.withColumn("__best", best).filter((stamp() == F.col("__best")) | ~(F.col("created") < F.lit(grace).cast("timestamp_ntz"))).drop("__best")
+    """All but the old rows with a later one on their key; ties stay. The later row may be of any age.
+
+    The latest stamps are aggregated before they move; old rows meet them on
+    key and stamp together, which is unique to an operation, so that a record
+    with any share of the log is spread over all tasks.
+    """
+    old = F.col("created") < F.lit(grace).cast("timestamp_ntz")
+    best = ops.groupBy(*key).agg(F.max(stamp()).alias("b")).select(*key, "b.hlc", "b.src_node")
+    return ops.filter(~old).unionByName(ops.filter(old).join(best, [*key, "hlc", "src_node"], "left_semi").select(*ops.columns))
 
 
 def drop_superseded(ops: DataFrame, grace: str) -> DataFrame:

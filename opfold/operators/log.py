@@ -63,14 +63,25 @@ def page_after_vector(ops: DataFrame, vector: DataFrame, horizon: DataFrame, lim
     return page, needed
 
 
-def contiguous(ops: DataFrame, vector: DataFrame) -> DataFrame:
-    """How far each source's sequence goes on from the vector without a hole; also its maximum."""
+def contiguous(ops: DataFrame, vector: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """How far each source's sequence goes on from the vector without a hole; also its maximum.
+
+    Sequences are counted in blocks first; only the first block that is not
+    full is looked at row by row, so no task gets the whole of a source.
+    """
     start = F.coalesce("seq", F.lit(0))
-    ahead = ops.select(*KEY).distinct().join(F.broadcast(vector), "src_node", "left").filter(F.col("src_seq") > start)
-    numbered = ahead.withColumn("rn", F.row_number().over(Window.partitionBy("src_node").orderBy("src_seq")))
-    run = numbered.groupBy("src_node").agg(F.count_if(F.col("src_seq") - start == F.col("rn")).alias("run"), F.max("src_seq").alias("top"))
+    ahead = ops.select(*KEY).distinct().join(F.broadcast(vector), "src_node", "left").filter(F.col("src_seq") > start).withColumn("__at", F.col("src_seq") - start - 1)
+    counted = ahead.withColumn("__b", F.expr(f"__at div {block}"))
+    blocks = counted.groupBy("src_node", "__b").agg(F.count("*").alias("__n"), F.max("src_seq").alias("__top"))
+    ordered = blocks.withColumn("__rn", F.row_number().over(Window.partitionBy("src_node").orderBy("__b")) - 1)
+    broken = (F.col("__b") != F.col("__rn")) | (F.col("__n") < block)
+    full = ordered.groupBy("src_node").agg(F.coalesce(F.min(F.when(broken, F.col("__rn"))), F.count("*")).cast("long").alias("__full"), F.max("__top").alias("top"))
+    edge = counted.join(F.broadcast(full.select("src_node", "__full")), "src_node").filter(F.col("__b") == F.col("__full"))
+    numbered = edge.withColumn("__k", F.row_number().over(Window.partitionBy("src_node").orderBy("__at")) - 1)
+    run = numbered.groupBy("src_node").agg(F.count_if(F.col("__at") - F.col("__full") * block == F.col("__k")).alias("run"))
     names = vector.select("src_node").union(ops.select("src_node")).distinct()
-    return names.join(vector, "src_node", "left").join(run, "src_node", "left").select("src_node", (F.coalesce("seq", F.lit(0)) + F.coalesce("run", F.lit(0))).alias("seq"), F.coalesce("top", "seq", F.lit(0)).alias("top"))
+    done = F.coalesce(F.col("__full") * block, F.lit(0)) + F.coalesce("run", F.lit(0))
+    return names.join(vector, "src_node", "left").join(full, "src_node", "left").join(run, "src_node", "left").select("src_node", (F.coalesce("seq", F.lit(0)) + done).alias("seq"), F.coalesce("top", "seq", F.lit(0)).alias("top"))
 
 
 def gaps(ops: DataFrame, vector: DataFrame) -> DataFrame:

@@ -62,8 +62,11 @@ def test_admission_drops_echo_and_nonsense(spark):
 
 def test_contiguous_stops_at_the_first_hole(spark):
     rows = [("b", s, hlc(s), "upsert", "c", "r", "{}", "2024-01-01 00:00:00", s) for s in [*range(1, 2501), 2502]]
-    got = log.contiguous(ops(spark, rows), spark.createDataFrame([], "src_node string, seq long")).collect()
-    assert [tuple(r) for r in got] == [("b", 2500, 2502)]
+    nothing = spark.createDataFrame([], "src_node string, seq long")
+    for block in (100, 250, 2500, 2501, 2502, 1 << 16):
+        assert [tuple(r) for r in log.contiguous(ops(spark, rows), nothing, block).collect()] == [("b", 2500, 2502)]
+    assert [tuple(r) for r in log.contiguous(ops(spark, rows[:200]), nothing, 100).collect()] == [("b", 200, 200)]
+    assert [tuple(r) for r in log.contiguous(ops(spark, rows[150:]), nothing, 100).collect()] == [("b", 0, 2502)]
 
 
 @pytest.mark.parametrize(("vector", "horizon", "limit", "page", "needed"), [({}, {}, 10, 6, False), ({"a": 6}, {}, 10, 0, False), ({"a": 2}, {"a": 3}, 10, 0, True), ({"a": 3}, {"a": 3}, 10, 3, False), ({"a": 0}, {"z": 3}, 6, 6, False), ({"a": 0}, {"z": 3}, 7, 6, True)])
