@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from opfold.llm.common import written
 
-TREES, LEAF_ROWS, SEARCH_ROWS, SAMPLE_ROWS, SLICE_ROWS = 16, 64, 16_000, 20_000, 8192
+TREES, LEAF_ROWS, SEARCH_ROWS, SAMPLE_ROWS, SLICE_ROWS = 32, 64, 32_000, 20_000, 8192
 
 
 class Forest:
@@ -122,12 +122,13 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the rows that take part, an id once."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and v of the rows that take part, an id once. Vectors of float stay so: they move at half the size, and become double where they are compared."""
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", lambda x: x.isNotNull()))
     rows = rows.filter(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
-    return rows.join(F.broadcast(length), F.size("v") == F.col("n"), "left_semi").groupBy("vec_id").agg(F.min(F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
+    return rows.join(F.broadcast(length), F.size("v") == F.col("n"), "left_semi").groupBy("vec_id").agg(F.min(F.transform("v", lambda x: x + F.lit(0.0).cast(kind))).alias("v"))
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -135,6 +136,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = written(usable(vectors), "vectors")
+    kind = dict(rows.dtypes)["v"]
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     classes = written(rows.withColumn("__n", first).filter(F.col("__n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"), "classes")
     total = classes.count()
@@ -154,7 +156,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
                 rows_of = pa.array(np.repeat(np.arange(part.num_rows), leaves.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), *(part.column(c).take(rows_of) for c in range(3))], names=["leaf", "rep", "v", "ids"])
 
-    index = classes.mapInArrow(route, "leaf long, rep long, v array<double>, ids array<long>")
+    index = classes.mapInArrow(route, f"leaf long, rep long, v {kind}, ids array<long>")
     counted = {r.leaf: r.n for r in classes.select("rep", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(route, index.schema).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     sizes = np.zeros(forest.leaves, np.int64)  # as many as the forest has leaves, a bounded number
     sizes[list(counted)] = list(counted.values())
@@ -218,7 +220,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
 
     queries = rows.filter(F.col("vec_id") % every == 0).join(classes.select("rep", "v"), "v").select("vec_id", "rep", "v")
     queries = written(queries, "queries")
-    moving = "cell long, kind int, rep long, v array<double>, ids array<long>"
+    moving = f"cell long, kind int, rep long, v {kind}, ids array<long>"
     met = classes.mapInArrow(place, moving).unionByName(queries.groupBy("rep").agg(F.any_value("v").alias("v")).mapInArrow(probe, moving))
     ranked = met.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(rank, "query long, rep long, score double, ids array<long>")
     best = ranked.groupBy("query", "rep").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"))
