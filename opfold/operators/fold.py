@@ -106,3 +106,21 @@ def overlay(base: DataFrame, patches: DataFrame, key: str, fields: dict[str, str
     new = {f: F.get_json_object("__p", f"$.{f}").try_cast(kind) for f, kind in fields.items()}
     joined = base.join(p, F.col(key) == F.col("__k"), "left")
     return joined.select(key, *(F.when(F.coalesce(there[f], F.lit(False)), new[f]).otherwise(F.col(f)).alias(f) for f in fields))
+
+
+def export(records: DataFrame, key: str, fields: list[str], file_fields: list[str]) -> DataFrame:
+    """Full row images as JSON, and the file names of each file field (single names or lists; empty ones left out)."""
+    kinds = dict(records.dtypes)
+    lists = [F.filter(F.col(f) if kinds[f].startswith("array") else F.array(f), lambda n: n.isNotNull() & (n != "")) for f in file_fields]
+    files = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, file_fields)), F.array(*lists)), lambda _, names: F.size(names) > 0)
+    return records.select(F.col(key).cast("string").alias("record_id"), F.to_json(F.struct(*fields)).alias("payload"), files.alias("files"))
+
+
+def canonical(text: Column) -> Column:
+    """JSON with sorted keys and no white space, the same for equal contents; null if malformed."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def adopt_clocks(candidates: DataFrame) -> DataFrame:
+    """The highest of several known clock values and sequences of a node, one row; clocks compare as text."""
+    return candidates.agg(F.max("hlc").alias("hlc"), F.max("seq").alias("seq"))

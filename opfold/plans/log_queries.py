@@ -406,3 +406,35 @@ def duplicate_node_ids(spark, d):
 def sanitized_state(spark, d):
     state = frame(spark, [("bootstrap_done", "1"), ("vector.z", "3"), ("node_id", "b"), ("local_seq", "9")], "key string, value string")
     return snapshot.sanitized_state(state, frame(spark, [("a", 12), ("b", 9)], "src_node string, seq long"), "a", 7)
+
+
+# exports
+
+
+@query("record_export", """SELECT CAST(doc_id AS VARCHAR) AS record_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS payload, CASE WHEN doc_id % 9 = 0 THEN 'extra=' || source || '_' || doc_id ELSE 'cover=' || lang || ';extra=' || source || '_' || doc_id END AS files FROM documents""")
+def record_export(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("lang")).alias("cover"), F.array(F.concat_ws("_", "source", "doc_id"), F.lit(None).cast("string")).alias("extra"))
+    out = fold.export(docs, "doc_id", ["doc_id", "lang"], ["cover", "extra"])
+    shown = F.array_join(F.transform(F.map_entries("files"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return out.select("record_id", "payload", shown.alias("files"))
+
+
+@query("schema_export", """SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN '{"a":[1,2],"k":' || json_extract_string(props, '$.k') || ',"z":null}' END AS canonical FROM events""")
+def schema_export(spark, d):
+    """Schema texts with keys in any order and stray white space, some cut off."""
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    text = F.concat(F.lit('{ "z" : null, "k": '), F.col("k"), F.lit(' , "a" : [ 1, 2 ]'), F.when(F.col("event_id") % 50 == 0, "").otherwise("}"))
+    return e.select("event_id", fold.canonical(text).alias("canonical"))
+
+
+@query("adopted_clock", f"WITH {LOG} SELECT max(hlc) AS hlc, max(src_seq) AS seq FROM oplog WHERE src_node IN ('node01', 'node02', 'node03')")
+def adopted_clock(spark, d):
+    tops = tables.oplog(spark, d).filter(F.col("src_node").isin("node01", "node02", "node03")).groupBy("src_node").agg(F.max("hlc").alias("hlc"), F.max("src_seq").alias("seq"))
+    return fold.adopt_clocks(tops)
+
+
+@query("countries", "SELECT * FROM (VALUES ('DE', 'Germany'), ('FR', 'France'), ('JP', 'Japan')) AS t(code, name)")
+def countries(spark, d):
+    """A static JSON table of names by code, exploded."""
+    text = frame(spark, [('{"DE":"Germany","FR":"France","JP":"Japan"}',)], "t string")
+    return text.select(F.explode(F.from_json("t", "map<string,string>")).alias("code", "name"))
