@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opfold.llm import mixing, phrases, quality, simhash, toxicity
+from opfold.llm import copies, mixing, phrases, quality, toxicity
 from opfold.llm.common import kept_by_score, read, written
 
 
@@ -21,8 +21,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    return copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,12 +272,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents, one of each component: the one with the smallest doc_id.
 
-    Of rows that share that id, one stays. Rows without an id stay.
+    Of rows that share that id, one stays. Rows without an id stay. The texts
+    move once, by id, at every size: the ids to drop grow with the input, so
+    they are never broadcast, and repeated ids are dropped in the same pass.
     """
-    found = written(near_duplicates(docs, words, max_bits).select("doc_id", "component_id"), "near-duplicates")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
-    kept = docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
-    single = kept.join(again, kept.doc_id == again["__again"], "left_anti")
-    repeated = kept.join(again, kept.doc_id == again["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    found = near_duplicates(docs, words, max_bits)
+    gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    known = docs.filter(docs.doc_id.isNotNull())
+    kept = known.join(gone.hint("merge"), known.doc_id == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(docs.doc_id.isNull()))

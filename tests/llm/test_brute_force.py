@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from comparing import duck_rows, spark_rows
 
-from opfold.llm import language, mixing, neighbours, phrases, queries, quality, simhash, tokens, toxicity, warc
+from opfold.llm import copies, language, mixing, neighbours, phrases, queries, quality, simhash, tokens, toxicity, warc
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -279,6 +279,41 @@ def test_languages_held_out(spark, sf_dir):
     assert np.mean([lang[r.doc_id] == r.lang_pred for r in got]) > 0.9
 
 
+# near copies
+
+
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(400)]
+    originals = [rng.choices(pool, k=rng.randint(80, 400)) for _ in range(60)]
+    rows, planted, k = [], set(), 0
+    for words in originals:
+        rows.append((k, " ".join(words)))
+        k += 1
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // 100)):
+                copy[at] = rng.choice(pool)
+            planted.add(k)
+            rows.append((k, " ".join(copy)))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in copies.drop_near_copies(docs).collect()}
+    gone = {k for k, _ in rows} - kept
+    assert len(gone & planted) >= 0.97 * len(planted) and not gone - planted
+
+
+def test_sketch_of_few_words():
+    assert copies.sketch(None).tolist() == [0] * 4 == copies.sketch(b" \t").tolist()
+    assert (copies.sketch(b"One  two\nthree") == copies.sketch(b"one two three")).all()
+    assert copies.bits_apart(1.0) == 0 and copies.bits_apart(0.8) == 39
+
+
 # the pipeline, stage by stage
 
 
@@ -295,8 +330,12 @@ def test_pipeline(spark, sf_dir):
         assert kept <= want and after.count() == len(kept)
         if name == "simhash_near_dedup":
             ids = sorted(want)
-            roots = plain_components([plain_fingerprint(whole[i]) for i in ids])
-            assert kept == {ids[r] for r in roots}
+            sketches = {i: copies.sketch(whole[i].encode()) for i in ids}
+            sets = {i: shingles(whole[i]) for i in ids}
+            near = [(i, j) for i, j in combinations(ids, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+            close = [(i, j) for i, j in combinations(ids, 2) if np.bitwise_count(sketches[i] ^ sketches[j]).sum() <= copies.bits_apart(0.8)]
+            caught = [j not in kept for _, j in near]
+            assert np.mean(caught) > 0.9 and want - kept <= {j for _, j in close}
         elif name == "decontamination":
             windows = {w for r in read(spark, sf_dir, "benchmark").collect() for w in phrases.windows_of(phrases.words_of(r.text.encode()))}
             assert kept == {i for i in want if not any(w in windows for n in {len(x) for x in windows} for w in zip(*(phrases.words_of(whole[i].encode())[k:] for k in range(n)), strict=False))}

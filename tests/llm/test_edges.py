@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opfold.llm import chat, language, mixing, neighbours, phrases, quality, simhash, tokens, toxicity, warc
+from opfold.llm import chat, copies, language, mixing, neighbours, phrases, quality, simhash, tokens, toxicity, warc
 from opfold.llm.common import kept_by_score
 
 DOCS = "doc_id long, text string, lang string, source string, fp long, n long, label int, mix_slot string, __id long"
@@ -45,10 +45,11 @@ def test_every_document_operator_takes_odd_rows(spark, rows):
 def test_filters_keep_columns_and_rows(spark):
     docs = documents(spark)
     assert kept_by_score(docs, lambda texts: np.ones(len(texts)), lambda s: s > 0).count() == 8
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    # 2, 3 and 5 have no words but 5 has one; 4 and 6 are copies; 1 is there twice
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [1, 2, 4, 5] and kept.filter("doc_id is null").count() == 1
+    assert copies.drop_near_copies(docs.limit(0)).count() == 0
+    for kept in (simhash.drop_near_duplicates(docs), copies.drop_near_copies(docs)):
+        assert kept.columns == docs.columns
+        # 2, 3 and 5 have no words but 5 has one; 4 and 6 are copies; 1 is there twice
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [1, 2, 4, 5] and kept.filter("doc_id is null").count() == 1
     items = spark.createDataFrame([(1, "cat sat on the mat"), (2, "the cat sat on the mat today")], "item_id long, text string")
     clean = phrases.decontaminate(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.select("doc_id").collect()) == [0, 2, 3, 4, 5, 6]
