@@ -79,9 +79,10 @@ def contiguous(ops: DataFrame, vector: DataFrame, block: int = 1 << 16) -> DataF
     edge = counted.join(F.broadcast(full.select("src_node", "__full")), "src_node").filter(F.col("__b") == F.col("__full"))
     numbered = edge.withColumn("__k", F.row_number().over(Window.partitionBy("src_node").orderBy("__at")) - 1)
     run = numbered.groupBy("src_node").agg(F.count_if(F.col("__at") - F.col("__full") * block == F.col("__k")).alias("run"))
-    names = vector.select("src_node").union(ops.select("src_node")).distinct()
+    # a source without rows ahead can only be one that the vector names
     done = F.coalesce(F.col("__full") * block, F.lit(0)) + F.coalesce("run", F.lit(0))
-    return names.join(vector, "src_node", "left").join(full, "src_node", "left").join(run, "src_node", "left").select("src_node", (F.coalesce("seq", F.lit(0)) + done).alias("seq"), F.coalesce("top", "seq", F.lit(0)).alias("top"))
+    both = vector.select("src_node", "seq").join(full.join(run, "src_node", "left"), "src_node", "full_outer")
+    return both.select("src_node", (start + done).alias("seq"), F.coalesce("top", "seq", F.lit(0)).alias("top"))
 
 
 def gaps(ops: DataFrame, vector: DataFrame) -> DataFrame:
