@@ -2,10 +2,15 @@
 
 Fit. The trees' hyperplanes come from a bounded sample of the distinct vectors
 (``sample_rows``, taken by hash); every vector is then routed to one leaf of
-each tree, and the leaves' sizes are counted over all of them.
+each tree, and the leaves' sizes are counted over all of them. The sample
+bounds the number of leaves, not what is searched.
 
 Search. One priority queue, shared by all trees, holds branches by the least
-margin on their path; leaves are taken until they hold ``search_rows`` rows.
+margin on their path; leaves are taken until they hold ``search_rows`` rows,
+or more: the true neighbours of up to ``probes`` queries (by hash) are found by
+brute force, and the search is widened, up to the whole table, until it finds
+the share ``recall`` of them. A table of any size is thus searched as far as
+its own structure asks.
 Query and vectors meet at (leaf, slice): a leaf of more than ``slice_rows``
 rows is split over tasks and the query goes to each slice. There the exact
 cosine in double precision ranks the candidates.
@@ -14,7 +19,8 @@ Scale. Equal vectors are folded into one class before anything else, with only
 the k + 1 smallest ids (more can never be among the k nearest), so a vector
 that a third of all rows share is one row of the index and one query. Vectors
 move once per tree; queries once per leaf taken; the forest has a size bound by
-its parameters, whatever the number of rows.
+its parameters, whatever the number of rows, and so have the leaves that a
+query is sent to; leaves grow instead. The brute force reads each class once.
 
 Rows whose vector is null, zero, or holds a null or non-finite component, whose
 length is not the table's commonest, or whose id is null take no part. Rows
@@ -35,6 +41,8 @@ from pyspark.sql import functions as F
 from opfold.llm.common import written
 
 TREES, LEAF_ROWS, SEARCH_ROWS, SAMPLE_ROWS, SLICE_ROWS = 32, 64, 32_000, 20_000, 8192
+#: Share of the probes' true neighbours that the search has to find (0.9 is required; the rest is for the error of a sample), probes, leaves of a tree.
+RECALL, PROBES, TREE_LEAVES = 0.95, 256, 1024
 
 
 class Forest:
@@ -105,6 +113,28 @@ class Forest:
         return found
 
 
+    def far(self, unit: np.ndarray) -> np.ndarray:
+        """The least margin at which ``search`` reaches each leaf."""
+        margin = self.plane @ unit - self.cut
+        out = np.empty(self.leaves)
+        at, level = np.array(self.roots), np.full(len(self.roots), -np.inf)
+        while len(at):
+            end = at < 0
+            out[~at[end]] = level[end]
+            at, level = at[~end], level[~end]
+            m = margin[at]
+            at, level = self.child[at].T.ravel(), np.concatenate([np.maximum(level, m), np.maximum(level, -m)])
+        return out
+
+    def rows_needed(self, unit: np.ndarray, sizes: np.ndarray, found_in: np.ndarray) -> np.ndarray:
+        """For rows given by their leaves (one a tree): the least ``rows`` with which ``search`` meets each."""
+        far = self.far(unit)
+        order = np.argsort(far, kind="stable")
+        held = np.concatenate([[0], np.cumsum(sizes[order])])
+        # of leaves equally far any may come last
+        return held[np.searchsorted(far[order], far[found_in].min(axis=1), "right") - 1] + 1
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -131,8 +161,44 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(length), F.size("v") == F.col("n"), "left_semi").groupBy("vec_id").agg(F.min(F.transform("v", lambda x: x + F.lit(0.0).cast(kind))).alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
+def rows_for_recall(classes: DataFrame, queries: DataFrame, forest: Forest, sizes: np.ndarray, k: int, recall: float, probes: int) -> int:
+    """The least rows a query with which the search finds the share ``recall`` of the true neighbours of the probes."""
+    asked = queries.groupBy("rep").agg(F.any_value("v").alias("v")).orderBy(F.xxhash64("rep", F.lit("probe")), "rep").limit(probes).select("v").toArrow().column(0).combine_chunks()
+    own = matrix(asked)
+    if not len(own):
+        return 0
+    shared = classes.sparkSession.sparkContext.broadcast(own)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k + 1 nearest classes (the probe's own among them) of a task's, for every probe."""
+        qs = unit_rows(shared.value)
+        score, rep, v = np.full((len(qs), 0), 0.0), np.zeros((len(qs), 0), np.int64), np.zeros((len(qs), 0, qs.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                vs = matrix(part.column(1))
+                near = qs @ unit_rows(vs).T
+                top = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, : k + 1]
+                score, rep, v = np.concatenate([score, np.take_along_axis(near, top, 1)], 1), np.concatenate([rep, part.column(0).to_numpy()[top]], 1), np.concatenate([v, vs[top]], 1)
+                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                score, rep, v = np.take_along_axis(score, best, 1), np.take_along_axis(rep, best, 1), np.take_along_axis(v, best[:, :, None], 1)
+        n = score.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(qs)), n)), pa.array(score.ravel()), pa.array(rep.ravel()), pa.array(list(v.reshape(-1, qs.shape[1])), pa.list_(pa.float64()))], names=["probe", "score", "rep", "v"])
+
+    ranked = classes.select("rep", "v").mapInArrow(scan, "probe long, score double, rep long, v array<double>")
+    true = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "rep"))).filter(F.col("__n") <= k + 1).select("probe", "v").toArrow().combine_chunks()
+    leaves, probe = forest.route(unit_rows(matrix(true.column("v").combine_chunks()))), true.column("probe").to_numpy()
+    units = unit_rows(own)
+    need = [x for q in range(len(units)) for x in np.sort(forest.rows_needed(units[q], sizes, leaves[probe == q]))[1:].tolist()]  # the first is its own class
+    return int(np.sort(need)[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if need else 0
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``.
+
+    ``search_rows`` is the least that is searched; ``recall``, measured on ``probes`` queries, may ask for more.
+    """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = written(usable(vectors), "vectors")
@@ -144,7 +210,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
         return spark.createDataFrame([], out)
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").toArrow().column(0).combine_chunks()
     points = unit_rows(matrix(sample))
-    forest = Forest(points, trees, max(1, leaf_rows * len(points) // total))
+    forest = Forest(points, trees, max(1, leaf_rows * len(points) // total, len(points) // TREE_LEAVES))
     shared = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +226,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     counted = {r.leaf: r.n for r in classes.select("rep", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(route, index.schema).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     sizes = np.zeros(forest.leaves, np.int64)  # as many as the forest has leaves, a bounded number
     sizes[list(counted)] = list(counted.values())
+    queries = rows.filter(F.col("vec_id") % every == 0).join(classes.select("rep", "v"), "v").select("vec_id", "rep", "v")
+    queries = written(queries, "queries")
+    search_rows = max(search_rows, rows_for_recall(classes, queries, forest, sizes, k, recall, probes))
     slices = np.maximum(1, -(-sizes // slice_rows))
     plan = spark.sparkContext.broadcast((sizes, slices))
     base = np.concatenate([[0], np.cumsum(slices)])
@@ -218,8 +287,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
                 take = pa.array(np.concatenate([g[1] for g in got]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got])), batch.column(2).take(take), pa.array(np.concatenate([g[2] for g in got])), batch.column(4).take(take)], names=["query", "rep", "score", "ids"])
 
-    queries = rows.filter(F.col("vec_id") % every == 0).join(classes.select("rep", "v"), "v").select("vec_id", "rep", "v")
-    queries = written(queries, "queries")
     moving = f"cell long, kind int, rep long, v {kind}, ids array<long>"
     met = classes.mapInArrow(place, moving).unionByName(queries.groupBy("rep").agg(F.any_value("v").alias("v")).mapInArrow(probe, moving))
     ranked = met.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(rank, "query long, rep long, score double, ids array<long>")

@@ -163,6 +163,32 @@ def test_recall(spark):
     assert [found[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
 
 
+def test_search_widens_until_recall_is_reached(spark):
+    """400 rows a query are a fifteenth of a table without structure."""
+    points = np.random.default_rng(5).normal(size=(6000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.nearest(df, every=20, search_rows=400, sample_rows=1000).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 20):
+        scores = unit @ unit[q]
+        scores[q] = -9
+        hits += len(found[q] & set(np.argsort(-scores)[:5].tolist()))
+    assert hits / 1500 >= 0.9
+
+
+def test_rows_needed_are_what_the_search_takes():
+    points = neighbours.unit_rows(np.random.default_rng(6).normal(size=(500, 8)))
+    forest = neighbours.Forest(points, 4, 8)
+    leaves = forest.route(points)
+    sizes = np.bincount(leaves.ravel(), minlength=forest.leaves)
+    need = forest.rows_needed(points[0], sizes, leaves)
+    for k in range(0, 500, 7):
+        assert set(forest.search(points[0], sizes, int(need[k]))) & set(leaves[k].tolist())
+
+
 # archives
 
 
