@@ -243,6 +243,30 @@ def test_schedule_stays_within_a_block(weights):
                 assert abs(count.get(s2, 0) - q / period * (t + 1 - start)) < 1
 
 
+def test_slots_stay_within_a_block_of_the_target():
+    """However long a phase: 20 sources, one with a third of the blocks and square-root weights, or with weights by size."""
+    blocks = {0: 2000, **dict.fromkeys(range(1, 20), 211)}
+    for power in (0.5, 1.0):
+        weights = {s: n**power for s, n in blocks.items()}
+        count, total = dict.fromkeys(blocks, 0), sum(weights.values())
+        for slot, s, block, phase, release, due in mixing.slots(blocks, weights):
+            if phase:
+                break
+            assert block == count[s] and release <= slot < due
+            count[s] += 1
+            assert all(abs(count[x] - weights[x] / total * (slot + 1)) < 1 + 1e-9 for x in blocks)
+
+
+def test_mix_follows_the_weights(spark):
+    """Blocks of one document; the hot source's share of the first 1 500 slots is that of its weight."""
+    docs = spark.range(8000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 19)) AS source")
+    sizes = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    share = sizes["hot"] ** 0.5 / sum(n**0.5 for n in sizes.values())
+    first = [r for r in mixing.mix(docs, block_docs=1).collect() if r.mix_slot < 1500]
+    assert len(first) == 1500 and {r.mix_phase for r in first} == {0}
+    assert abs(sum(r.source == "hot" for r in first) - 1500 * share) < 1
+
+
 def test_mix_is_whole(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = mixing.mix(docs, block_docs=4).collect()
