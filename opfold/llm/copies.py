@@ -3,15 +3,20 @@
 The 64-bit fingerprints of ``simhash`` link at four bits, which near copies
 with a few edits in a hundred words miss: at a Jaccard similarity of 0.8 about
 one bit in seven differs. Here every text gets a sketch of 256 majority bits
-(two 128-bit hashes of each shingle); two texts are near copies when as many
-bits differ, or fewer, as two shingle sets of the given similarity are expected
-to differ in.
+(two 128-bit hashes of each shingle); two texts are near copies when their sets
+of shingles, compared exactly, have the given similarity.
 
-Candidates come from the same Golay keys, of the sketch's first word. They are
-certain to meet up to four differing bits of its 64, and measured to meet in
-80 to 98 percent of the pairs from a similarity of 0.8 to 0.95 (README). Sketches
-travel with their keys, so that a bucket is judged where it lies: a search by
-breadth yields a spanning forest of its links, never its pairs.
+Candidates share a Golay key of one of the sketch's four words and differ in no
+more bits than ``margin``: three standard deviations over what is expected of
+sets of equal size with that similarity. A pair at a similarity of 0.8 misses
+one word's keys in about one of five cases (README), all four words' in one of
+hundreds. A word's keys are made, and its shuffle is left behind, at a time.
+
+Sketches travel with their keys, so that a bucket is judged where it lies.
+First a search by breadth yields a spanning forest of its candidates, never its
+pairs; the nearest of them of each text are compared exactly. Then all
+candidates still apart are compared, so no link is lost to the forest's choice,
+and only pairs that may join two groups are ever written.
 
 Null and empty texts have the sketch zero. Rows without an id take no part in
 links.
@@ -19,6 +24,7 @@ links.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -26,13 +32,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opfold.llm.common import LOWER_AND_SPACES, written
-from opfold.llm.simhash import components, keys_of
+from opfold.llm.simhash import components, keys_of, shingle_hashes
 
-WORDS, SIMILARITY, LANES = 5, 0.8, 4
+WORDS, SIMILARITY, LANES, NEAREST = 5, 0.8, 4, 4
 SKETCH = [f"s{k}" for k in range(LANES)]
 HASHES_AT_ONCE = 1 << 15
 
@@ -42,6 +48,12 @@ def bits_apart(similarity: float) -> int:
     return math.ceil(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def margin(similarity: float) -> int:
+    """Differing bits that a pair of that similarity stays within, but for one in several hundred."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * LANES * p + 3 * math.sqrt(64 * LANES * p * (1 - p)))
+
+
 def sketch(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """The majority bits, as unsigned words."""
     parts = (text or b"").translate(LOWER_AND_SPACES).split()
@@ -63,14 +75,14 @@ def sketch(text: bytes | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and sketch words (signed longs with the same bits) of every row."""
+    """doc_id, text hash and sketch words (signed longs with the same bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([sketch(t.as_py(), words) for t in pc.cast(batch.column(1), pa.binary())], np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(LANES))], names=["doc_id", *SKETCH])
+            found = np.array([sketch(t.as_py(), words) for t in pc.cast(batch.column(2), pa.binary())], np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(LANES))], names=["doc_id", "text_hash", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def spanning_links(ids: np.ndarray, rows: np.ndarray, most: int, cells: int = 1 << 20) -> list[tuple[int, int]]:
@@ -94,58 +106,129 @@ def spanning_links(ids: np.ndarray, rows: np.ndarray, most: int, cells: int = 1
     return links
 
 
-def links_between(distinct: DataFrame, most: int) -> DataFrame:
-    """Links (a, b) of ids among rows (id, sketch words) that share a Golay key, enough to connect all that link."""
-    fields = ["key", "id", *SKETCH]
+def pairs_apart(ids: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int, cells: int = 1 << 20) -> list[tuple[int, int]]:
+    """All links among rows of sketch words whose groups differ."""
+    names, of = np.unique(groups, return_inverse=True)
+    if len(names) < 2:
+        return []
+    rest, links = np.flatnonzero(of != np.bincount(of).argmax()), []  # within the largest group there is nothing to find
+    step = max(1, cells // len(ids))
+    for at in range(0, len(rest), step):
+        block = rest[at : at + step]
+        apart = np.zeros((len(block), len(ids)), np.uint16)
+        for k in range(rows.shape[1]):
+            apart += np.bitwise_count(rows[block, k][:, None] ^ rows[:, k][None, :])
+        x, y = np.nonzero((apart <= most) & (of[block][:, None] != of[None, :]))
+        links += zip(ids[block[x]].tolist(), ids[y].tolist(), strict=True)
+    return links
+
+
+def links_between(distinct: DataFrame, most: int, lane: int = 0) -> DataFrame:
+    """Links (a, b, bits) of ids among rows (id, sketch words) that share a Golay key of one sketch word: enough to connect all that link or, if there is a column ``group``, all between groups."""
+    grouped = "group" in distinct.columns
+    columns = ["id", *SKETCH, *(["group"] if grouped else [])]
+    fields = ["key", *columns]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                rows, keys = keys_of(part.column(1).to_numpy().view(np.uint64))
+                rows, keys = keys_of(part.column(1 + lane).to_numpy().view(np.uint64))
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(take) for c in range(1 + LANES))], names=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(take) for c in range(len(columns)))], names=fields)
 
-    def solve(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    def solve(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(keys)))
         two = starts[sizes == 2]
-        hit = two[np.bitwise_count(rows[two] ^ rows[two + 1]).sum(axis=1) <= most] if len(two) else two
-        links = list(zip(ids[hit].tolist(), ids[hit + 1].tolist(), strict=True))
+        hit = two[(np.bitwise_count(rows[two] ^ rows[two + 1]).sum(axis=1) <= most) & (groups[two] != groups[two + 1])] if len(two) else two
+        yield batch_of(list(zip(hit.tolist(), (hit + 1).tolist(), strict=True)), ids, rows)
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            links += spanning_links(ids[s : s + n], rows[s : s + n], most)
-        pair = np.array(links, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pair.min(axis=1) if len(pair) else pair[:, 0]), pa.array(pair.max(axis=1) if len(pair) else pair[:, 1])], names=["a", "b"])
+            own = slice(s, s + n)
+            found = pairs_apart(np.arange(s, s + n), groups[own], rows[own], most) if grouped else spanning_links(np.arange(s, s + n), rows[own], most)
+            if found:
+                yield batch_of(found, ids, rows)
+
+    def batch_of(links: list[tuple[int, int]], ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        x, y = np.array(links, np.int64).reshape(-1, 2).T
+        bits = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(bits)], names=["a", "b", "bits"])
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets out of rows in key order; a bucket that goes on waits for its end."""
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rows = np.stack([batch.column(2 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
+            groups = batch.column(2 + LANES).to_numpy() if grouped else ids
             if waiting and keys[-1] == waiting[0][0][0]:
-                waiting.append((keys, ids, rows))
+                waiting.append((keys, ids, rows, groups))
                 continue
             if waiting:
-                keys, ids, rows = (np.concatenate([*(w[k] for w in waiting), x]) for k, x in enumerate((keys, ids, rows)))
+                keys, ids, rows, groups = (np.concatenate([*(w[k] for w in waiting), x]) for k, x in enumerate((keys, ids, rows, groups)))
             cut = int(np.searchsorted(keys, keys[-1], "left"))
-            yield solve(keys[:cut], ids[:cut], rows[:cut])
-            waiting = [(keys[cut:], ids[cut:], rows[cut:])]
+            yield from solve(keys[:cut], ids[:cut], rows[:cut], groups[:cut])
+            waiting = [(keys[cut:], ids[cut:], rows[cut:], groups[cut:])]
         if waiting:
-            yield solve(*(np.concatenate([w[k] for w in waiting]) for k in range(3)))
+            yield from solve(*(np.concatenate([w[k] for w in waiting]) for k in range(4)))
+
+    keyed = distinct.select(*columns).mapInArrow(emit, "key int, " + ", ".join(f"{c} long" for c in columns))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(in_bucket, "a long, b long, bits int").distinct()
+
+
+def candidates(distinct: DataFrame, most: int) -> DataFrame:
+    """``links_between`` by the keys of every sketch word, one after the other."""
+    found = None
+    for lane in range(LANES):
+        one = written(links_between(distinct, most, lane), "candidates")
+        found = one if found is None else found.unionByName(one)
+        # Spark deletes a shuffle's files when its plan is collected: else those of all words lie on the disk together
+        gc.collect()
+        distinct.sparkSession.sparkContext._jvm.System.gc()
+    return written(found.distinct(), "candidates")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """id and shingles (distinct hashes) of the nodes (id, doc_id, text_hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = pc.cast(part.column(1), pa.binary())
+                sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return own.join(nodes, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+
 
-    keyed = distinct.select("id", *SKETCH).mapInArrow(emit, "key int, id long, " + ", ".join(f"{c} long" for c in SKETCH))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(in_bucket, "a long, b long").distinct()
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts have that similarity; texts without a word are alike."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return links.select("a", "b").join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of the documents whose component holds a smaller id; others have none."""
+    most = margin(similarity)
     marked = written(sketches(docs, words).filter("doc_id is not null"), "sketches")
-    distinct = written(marked.groupBy(*SKETCH).agg(F.min("doc_id").alias("id")), "distinct")
-    roots = written(components(links_between(distinct, bits_apart(similarity))).filter("node != root"), "roots")
-    least = distinct.join(roots, distinct.id == roots.node, "left").select(*SKETCH, F.coalesce("root", "id").alias("component_id"))
+    distinct = written(marked.groupBy(*SKETCH).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least.*"), "distinct")
+    first = candidates(distinct, most)
+    linked = written(distinct.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
+    sets = written(shingle_sets(docs, linked.select("id", "doc_id", "text_hash"), words), "sets")
+    nearest = first.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).filter(F.col("__n") <= NEAREST).select("a", "b")
+    nearest = written(nearest, "nearest")
+    sure = written(verified(nearest, sets, similarity), "sure")
+    groups = components(sure).withColumnRenamed("node", "id")
+    rest = candidates(written(linked.join(groups, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"), "groups"), most)
+    more = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, similarity)
+    roots = written(components(written(sure.unionByName(more), "links")), "roots")
+    named = written(distinct.join(roots, distinct.id == roots.node, "left").select(*SKETCH, "doc_id", F.coalesce("root", "id").alias("root")), "named")
+    least = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(*SKETCH, "component_id")
     return marked.join(written(least, "components"), SKETCH).filter("doc_id != component_id").select("doc_id", "component_id")
 
 

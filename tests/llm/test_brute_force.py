@@ -358,6 +358,32 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len(gone & planted) >= 0.97 * len(planted) and not gone - planted
 
 
+def test_pairs_are_near_copies_by_exact_similarity(spark):
+    """Isolated pairs on both sides of 0.8, and a group whose first text is no copy of the others."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    rows = []
+    for k in range(240):
+        words = rng.choices(pool, k=304)
+        copy = list(words)
+        for at in range(4, 304, 10 + k % 50 * 2):
+            copy[at] = rng.choice(pool)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    middle = rng.choices(pool, k=304)
+    for k in range(6):
+        copy = middle[: 304 - 40] + rng.choices(pool, k=40) if k == 0 else list(middle)
+        copy[k] = "own"
+        rows.append((1000 + k, " ".join(copy)))
+    kept = {r.doc_id for r in copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    alike = [len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1]) for k in range(240)]
+    gone = [2 * k + 1 not in kept for k in range(240)]
+    assert 60 < sum(alike) < 200
+    assert not any(g and not a for g, a in zip(gone, alike, strict=True))
+    assert sum(gone) >= 0.98 * sum(alike)
+    assert {k for k in kept if k >= 1000} == {1000, 1001}
+
+
 def test_sketch_of_few_words():
     assert copies.sketch(None).tolist() == [0] * 4 == copies.sketch(b" \t").tolist()
     assert (copies.sketch(b"One  two\nthree") == copies.sketch(b"one two three")).all()
