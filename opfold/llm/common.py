@@ -26,14 +26,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only a session without one
-    (tests on one machine) gets a temporary folder.
+    It is the cluster's ``spark.checkpoint.dir``. Only a session with a local
+    master may do without one (tests) and gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = java.get() if java.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="opfold-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -63,22 +65,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """A bounded sample to learn ``label`` from, and how many rows each value has.
 
     The sample has (doc_id, label, text) of at most ``rows`` labelled documents
-    of each value outside the held-out fold, taken by the hash of their id, so
-    that it is spread over the whole table and the same in every run. Null and
-    contradicting labels are left out; a label given twice counts once, and so
-    does a document (its least text).
+    of ``docs`` for each value, outside the held-out fold and of any length,
+    taken by the hash of their id, so that it is spread over the whole table and
+    the same in every run. Null and contradicting labels are left out; a label
+    given twice counts once, and so does a document (its least text; null is
+    empty).
     """
     own = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .filter(crc_mod(F.col("doc_id"), folds) != held)
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("__z"))
         .filter(F.col("label") == F.col("__z"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "label")
     )
+    own = written(own, "labelled")
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bounded = [own.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(bounded[0].union(bounded[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), counts
 
 

@@ -1,31 +1,35 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: both hold the same
-base of ordinary text, the toxic one also the words that mark toxic documents.
-Those are found by contrast: byte n-grams of words that occur far more often in
-toxic than in ordinary documents pick the words that hold them. An occurrence
-after the same word as another counts once, so copies and repetitions add none. A window of consecutive words is compressed with
-either dictionary; the bytes that the toxic one saves are the window's
-evidence. A document's mean and largest savings go through a logistic
-calibration, fitted on labelled documents by dictionaries that did not see them
-(three folds) and weighted to the labels' true shares.
-
-Learning takes at most ``rows`` documents of each label (parameter), of at most
-``max_bytes`` bytes each; scoring reads whole texts in windows, whatever their
-length. Null and empty texts score as a text without evidence. Without labels
-of both kinds the score is the share of label 1 (0 if there are none). Every
-row gives one row.
+zstandard's trainer makes separate dictionaries: one from ordinary text, one
+from toxic text. Ordinary text teaches twice, first a base from whole windows,
+then what the base leaves unexplained; toxic text teaches what all of that
+leaves unexplained (words with four or more bytes in no shared 5-gram), so that
+the two sides differ by their own text and not by chance. A window of
+consecutive words is compressed with the ordinary dictionaries and with the
+toxic one before them; the bytes that the toxic one saves are the window's
+evidence. A document's mean and largest savings and its windows over each of
+several thresholds go through a logistic calibration, fitted on labelled
+documents by dictionaries that did not see them (three folds) and weighted to
+the labels' true shares.
+
+Learning takes at most ``rows`` documents of each label that are in the table
+(parameter) and of each at most ``most_windows`` windows, evenly spread over
+the whole text; near copies among them teach once. Scoring reads whole texts in
+windows, whatever their length. Null and empty texts score as a text without
+evidence. Without labels of both kinds, or too little text to train from, the
+score is the share of label 1 (0 if there are none). Every row gives one row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opfold.llm.common import LOWER_AND_SPACES, labelled_sample, logistic, scored
 
@@ -33,7 +37,12 @@ FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 #: Bytes saved at which a window counts.
 EVIDENCE = (1, 2, 3, 4, 6)
 THIRDS = 3
-ROWS, MAX_BYTES, WORDS, BASE_BYTES, TOXIC_BYTES, LEVEL, CONTRAST, LEAST = 2000, 16_000, 12, 32 << 10, 8 << 10, 9, 3.5, 8
+ROWS, MOST_WINDOWS, WORDS, LEVEL = 2000, 1024, 12, 9
+#: Sizes of the dictionaries, bytes.
+BASE_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 32 << 10, 4 << 10
+#: Bytes of a segment that the trainer takes, and bytes whose repetition it counts, for whole windows and for what is left.
+WINDOW_SEGMENTS, REST_SEGMENTS = (64, 8), (24, 8)
+GRAM, UNEXPLAINED, REST_BYTES = 5, 4, 4000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -44,15 +53,51 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
 
 
+def spread(text: bytes, most: int = MOST_WINDOWS) -> bytes:
+    """The text, or ``most`` of its windows from its beginning to its end."""
+    words = words_of(text)
+    n = -(-len(words) // WORDS)
+    if n <= most:
+        return text
+    return b" ".join(w for k in range(most) for w in words[k * n // most * WORDS : (k * n // most + 1) * WORDS])
+
+
 def compressor(dictionary: bytes):
+    """The bytes that a frame with that prefix takes, as a function."""
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     parameters = zstandard.ZstdCompressionParameters(compression_level=LEVEL, window_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters).compress
 
 
-def grams(word: bytes) -> set[bytes]:
-    word = b" " + word
-    return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)}
+def trained(samples: list[bytes], size: int, segments: tuple[int, int]) -> bytes:
+    """A dictionary by zstandard's trainer; of samples too few for it, the last of them."""
+    samples = [s for s in samples if len(s) > 8]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segments[0], d=segments[1], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def unexplained(texts: list[list[bytes]], known: bytes) -> list[bytes]:
+    """What is left of each text: its words with ``UNEXPLAINED`` bytes in no n-gram of ``known``."""
+    grams = {known[i : i + GRAM] for i in range(len(known) - GRAM + 1)}
+    judged: dict[bytes, bool] = {}
+
+    def judge(word: bytes) -> bool:
+        own = b" " + word + b" "
+        covered = bytearray(len(own))
+        for i in range(len(own) - GRAM + 1):
+            if own[i : i + GRAM] in grams:
+                covered[i : i + GRAM] = b"\1" * GRAM
+        return covered.count(0) >= UNEXPLAINED
+
+    out = []
+    for words in texts:
+        for w in words:
+            if w not in judged:
+                judged[w] = judge(w)
+        out.append((b" " + b"  ".join(w for w in words if judged[w]) + b" ")[:REST_BYTES])
+    return out
 
 
 def signature(words: list[bytes]) -> tuple[int, int] | None:
@@ -73,30 +118,32 @@ def unlike(texts: list[tuple[list[bytes], tuple[int, int] | None]]) -> list[list
     return out
 
 
-def contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
-    """After how many different words each word occurs."""
-    ids: dict[bytes, int] = {}
-    codes = np.array([ids.setdefault(w, len(ids)) for words in texts for w in (b"", *words)], np.int64)
-    pairs = np.unique(codes[:-1] * len(ids) + codes[1:]) % len(ids)
-    counts = np.bincount(pairs, minlength=len(ids))
-    return {w: int(counts[i]) for w, i in ids.items() if w}
+def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    base = trained([w for words in ordinary[::2] for w in windows(words)], BASE_BYTES, WINDOW_SEGMENTS)
+    plain = trained(unexplained(ordinary, base), ORDINARY_BYTES, REST_SEGMENTS) + base
+    return plain, trained(unexplained(toxic, plain), TOXIC_BYTES, REST_SEGMENTS)
 
 
 class Model:
     """Dictionaries and calibration; it is sent to the workers as bytes and numbers."""
 
-    def __init__(self, base: bytes, toxic: bytes, share: float):
-        self.base, self.toxic, self.share = base, toxic, share
+    def __init__(self, ordinary: bytes, toxic: bytes, share: float):
+        self.ordinary, self.toxic, self.share = ordinary, toxic, share
         self.weights = self.center = self.scale = None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("plain", "marked")}
 
-    def evidence(self, text: bytes | None) -> tuple[float, ...]:
+    def saved(self, text: bytes | None) -> list[int]:
+        """Of every window, how many bytes shorter the toxic dictionary makes it."""
         if "plain" not in self.__dict__:
-            self.plain, self.marked = compressor(self.base), compressor(self.toxic + self.base)
+            self.plain, self.marked = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
         plain, marked = self.plain, self.marked
-        saved = np.array([len(plain(w)) - len(marked(w)) for w in windows(words_of(text))] or [0.0])
+        return [len(plain(w)) - len(marked(w)) for w in windows(words_of(text))]
+
+    def evidence(self, text: bytes | None) -> tuple[float, ...]:
+        saved = np.array(self.saved(text) or [0.0])
         n = len(saved)
         over = [float((saved >= t).sum()) for t in EVIDENCE]
         top = np.sort(saved)[::-1][:3]
@@ -109,34 +156,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """The base of ordinary text and the words that mark toxic text, the strongest last."""
-    found: list[Counter[bytes]] = []
-    times = [contexts(ordinary), contexts(toxic)]
-    for own in times:
-        count: Counter[bytes] = Counter()
-        for w, c in own.items():
-            for g in grams(w):
-                count[g] += c
-        found.append(count)
-    n0, n1 = (max(1, sum(own.values())) for own in times)
-    contrast = {g: float(np.log((c + 0.5) / n1) - np.log((found[0].get(g, 0) + 0.5) / n0)) for g, c in found[1].items() if c >= LEAST}
-    marks: dict[bytes, float] = {}
-    for w, c in times[1].items():
-        best = max((contrast.get(g, 0.0) for g in grams(w)), default=0.0)
-        if best >= CONTRAST:
-            marks[w] = best * float(np.log1p(c))
-    chosen, size = [], 0
-    for w in sorted(marks, key=lambda w: (-marks[w], w)):
-        if size + len(w) + 1 > TOXIC_BYTES:
-            break
-        chosen.append(w)
-        size += len(w) + 1
-    clean = ([w for w in words if w not in marks] for words in ordinary)
-    pool = sorted((w for words in clean for w in windows(words)), key=lambda w: xxhash.xxh64_intdigest(w, 3))
-    return b"".join(pool)[:BASE_BYTES], b" " + b" ".join(reversed(chosen))
-
-
 def train(sample: list[tuple[int, int, bytes]], counts: dict[int, int]) -> Model:
     """From (doc_id, label, text) rows and the number of labels of each value.
 
@@ -150,11 +169,12 @@ def train(sample: list[tuple[int, int, bytes]], counts: dict[int, int]) -> Model
     for _, label, text in sample:
         words = [shared.setdefault(w, w) for w in words_of(text)]
         texts.append((label, (words, signature(words))))
-    x, y = np.zeros((len(sample), len(Model(b"", b"", share).evidence(b""))) if sample else (0, 1)), np.array([label for label, _ in texts], float)
+    y = np.array([label for label, _ in texts], float)
 
     def without(held: int | None) -> list[list[list[bytes]]]:
         return [unlike([t for i, (label, t) in enumerate(texts) if label == k and (held is None or i % THIRDS != held)]) for k in (0, 1)]
 
+    x: list = [None] * len(sample)
     for held in range(THIRDS):
         kinds = without(held)
         if not all(kinds):
@@ -162,16 +182,24 @@ def train(sample: list[tuple[int, int, bytes]], counts: dict[int, int]) -> Model
         model = Model(*dictionaries(*kinds), share)
         for i in range(held, len(sample), THIRDS):
             x[i] = model.evidence(sample[i][2])
+    seen = np.array(x)
     model = Model(*dictionaries(*without(None)), share)
-    model.center, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.center, model.scale = seen.mean(axis=0), seen.std(axis=0) + 1e-9
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.weights = logistic((x - model.center) / model.scale, y, weight)
+    model.weights = logistic((seen - model.center) / model.scale, y, weight)
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    sample, counts = labelled_sample(docs.filter(F.octet_length("text") <= max_bytes), labels, label, folds, held, rows)
-    return train([(r.doc_id, r.label, r.text.encode()) for r in sample.toLocalIterator()], counts)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, rows: int = ROWS, most_windows: int = MOST_WINDOWS) -> Model:
+    sample, counts = labelled_sample(docs, labels, label, folds, held, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(t.as_py(), most_windows) for t in pc.cast(batch.column(2), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "label", "text"])
+
+    taken = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, text binary")
+    return train([(r.doc_id, r.label, bytes(r.text)) for r in taken.toLocalIterator()], counts)
 
 
 def scores_of(spark, model: Model):
