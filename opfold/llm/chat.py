@@ -14,8 +14,9 @@ role ``assistant``, without marks, as character spans of the formatted text.
 
 Order: by turn, nulls last; equal turns by role, then text. Repeated rows are
 turns of their own. Null text and null role count as empty. A null conv_id is a
-conversation of its own. One conversation is one row, so it must fit in 2 GB;
-offsets are summed in blocks of 512 turns, in linear time and memory.
+conversation of its own. One conversation is one row, so its formatted text
+must fit in 2 GB, or 500 million characters where the mask is read; offsets are
+summed in blocks of 512 turns, in linear time and memory.
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
 
-def read_chats(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, turns (array of role, text) and loss_text, parsed from ``formatted`` alone."""
+def read_chats(chats: DataFrame) -> DataFrame:
+    """conv_id, formatted, turns (array of role, text; parsed from ``formatted`` alone) and loss_text (all unescaped text under ``loss_spans``)."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
     parsed = F.transform(
         blocks,
@@ -89,14 +90,24 @@ def read_chats(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
             F.transform(F.split(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2), r"<\|im_sep\|>", -1), unescape).alias("texts"),
         ),
     )
-    return chats.select("conv_id", "formatted", parsed.alias("bs")).select(
+    return chats.select("conv_id", "formatted", masked_text().alias("loss_text"), parsed.alias("bs")).select(
         "conv_id",
         "formatted",
         F.flatten(F.transform("bs", lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), x.alias("text"))))).alias("turns"),
-        F.array_join(F.flatten(F.transform(F.filter("bs", lambda b: b["role"] == loss_role), lambda b: b["texts"])), "").alias("loss_text"),
+        "loss_text",
     )
 
 
-def masked_text(chats: DataFrame) -> Column:
-    """The unescaped text under ``loss_spans``."""
-    return F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int")))), "")
+def masked_text() -> Column:
+    """The unescaped text of ``formatted`` under ``loss_spans``.
+
+    Cut from four bytes a character, where a place is found at once however
+    long the text; the mark before each piece keeps the decoder from taking a
+    piece's own first character for one.
+    """
+    mark = F.lit(b"\x00\x00\xfe\xff")
+
+    def pieces(wide: Column) -> Column:
+        return F.transform("loss_spans", lambda s: unescape(F.decode(F.concat(mark, F.substring(wide, (s["start"] * 4 + 1).cast("int"), (s["chars"] * 4).cast("int"))), "UTF-32")))
+
+    return F.element_at(F.transform(F.array(F.encode("formatted", "UTF-32")), lambda wide: F.array_join(pieces(wide), "")), 1)

@@ -9,31 +9,34 @@ cross entropy.)
 The automata are completed to tables (state x byte class): a missing transition
 goes to the root's and counts a phrase. Texts are laid out in segments of
 ``SEGMENT`` bytes and all segments of a batch step through a table together, a
-byte at a time, in vectorised look-ups; a phrase ends with its segment, for
-every language alike. Whole texts are parsed, whatever their length.
-
-Learning takes at most ``docs_per_language`` documents of each language and
-``train_bytes`` bytes of them (parameters). The prediction is ``und`` for texts
-without a letter, null texts, or if nothing could be learnt. Equal costs go to
+byte at a time, in vectorised look-ups. A segment is first parsed as if a phrase
+began there, then again from the state in which the one before it ends, until
+both parses are in one state, which takes some tens of bytes; so phrases go on
+over borders and the counts are those of the whole text, whatever its length.
+
+Learning takes at most ``docs_per_language`` documents of each language (by
+hash, of any length) and ``train_bytes`` bytes of them in pieces spread over
+each text (parameters). The prediction is ``und`` for texts without a letter
+(Unicode category L), null texts, or if nothing could be learnt. Equal costs go to
 the language that sorts first. Every row gives one row.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opfold.llm.common import ASCII_LOWER, crc_mod
 
 FOLDS, HELD, UNKNOWN = 4, 2, "und"
-DOCS, TRAIN_BYTES, DOC_BYTES, SEGMENT, LANES, MAX_LANGUAGES = 200, 32 << 10, 8192, 256, 1 << 14, 256
-LETTER = re.compile(r"[^\W\d_]")
+DOCS, TRAIN_BYTES, SEGMENT, LANES, MAX_LANGUAGES, PIECES = 200, 32 << 10, 256, 1 << 13, 256, 4
+LETTER = regex.compile(r"\p{L}")
 #: Letters lowered, bytes of longer characters kept, everything else one class.
 FOLD = bytes(ASCII_LOWER[b] if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -99,40 +102,70 @@ class Parser:
         pad = bytes([self.width - 1])
         flat = np.frombuffer(b"".join(t.translate(self.classes).ljust(int(n) * SEGMENT, pad) for t, n in zip(texts, lanes, strict=True)), np.uint8).reshape(-1, SEGMENT)
         out = np.zeros((len(texts), len(self.names)), np.int64)
+        out[sizes > 0] = 1
+        last = np.zeros(len(self.names), np.int32)  # the states in which the lanes before ended
         for at in range(0, len(flat), LANES):
             part = np.ascontiguousarray(flat[at : at + LANES].T).astype(np.int32)
+            goes_on = np.concatenate([[at > 0 and own[at - 1] == own[at]], own[at + 1 : at + LANES] == own[at : at + LANES][:-1]])
             for k, table in enumerate(self.tables):
-                state, count = np.zeros(part.shape[1], np.int32), np.ones(part.shape[1], np.int32)
-                for codes in part:
-                    codes = codes + state
-                    np.take(table, codes, out=state, mode="clip")
-                    ends = state >> 31
-                    count -= ends
-                    state ^= ends
-                np.add.at(out[:, k], own[at : at + LANES], count)
+                ended, last[k] = self.lanes(table, part, goes_on, last[k])
+                np.add.at(out[:, k], own[at : at + LANES], ended)
         return out
 
+    @staticmethod
+    def lanes(table: np.ndarray, part: np.ndarray, goes_on: np.ndarray, before: np.int32) -> tuple[np.ndarray, np.int32]:
+        """Phrases that end in each lane, and the last lane's state; lanes that ``goes_on`` marks go on from the lane before (the first from ``before``)."""
+        states, ends = np.empty_like(part), np.empty(part.shape, bool)
+        state = np.zeros(part.shape[1], np.int32)
+        for i, codes in enumerate(part):
+            state = np.take(table, codes + state, out=states[i], mode="clip")
+            ends[i] = state < 0
+            state ^= state >> 31
+        ended = ends.sum(axis=0)
+        begun, follow = np.zeros(part.shape[1], np.int32), np.flatnonzero(goes_on)
+        while len(follow):
+            own = np.where(follow > 0, states[-1, follow - 1], before)
+            follow, own = follow[own != begun[follow]], own[own != begun[follow]]
+            begun[follow], active, state = own, follow, own
+            for i in range(len(part)):
+                state = np.take(table, part[i, active] + state)
+                end = state < 0
+                state ^= state >> 31
+                ended[active] += end.astype(np.int64) - ends[i, active]
+                apart = state != states[i, active]
+                ends[i, active], states[i, active] = end, state
+                active, state = active[apart], state[apart]
+                if not len(active):
+                    break
+            follow = active + 1  # those after lanes whose end has changed
+            follow = follow[follow < part.shape[1]]
+            follow = follow[goes_on[follow]]
+        return ended, states[-1, -1]
+
     def costs(self, texts: list[bytes]) -> np.ndarray:
         """Bits a byte of every non-empty text in every language."""
         return self.phrases(texts) * np.array(self.bits) / np.array([max(1, len(t)) for t in texts])[:, None]
 
 
 def training_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, docs_per_language: int = DOCS, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
-    """Training text by language, from a bounded sample taken by hash; a part of each document, so that all have a say."""
+    """Training text by language, from a bounded sample taken by hash; pieces of each document, so that all have a say and all of a text can."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
-    own = own.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"), F.octet_length("text").alias("n")).filter(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.col("n") > DOC_BYTES, F.xxhash64("doc_id"), "doc_id", "text")
-    kept = own.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= docs_per_language).select("lang", "__k", "text")
+    own = own.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    ranked = own.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).filter(F.col("__k") <= docs_per_language)
+    n = F.length("text")
+    apart = F.concat_ws(" ", *(F.substring("text", (n * F.lit((2 * k + 1) / (2 * PIECES))).cast("int") + 1, F.lit(train_bytes // PIECES)) for k in range(PIECES)))
+    kept = ranked.select("lang", "__k", F.when(n > train_bytes, apart).otherwise(F.col("text")).alias("text"))
     found: dict[str, list[tuple[int, bytes]]] = {}
     for r in kept.toLocalIterator():
         found.setdefault(r.lang, []).append((r["__k"], r.text.encode()))
         if len(found) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out = {}
-    for lang, texts in found.items():
-        share = -(-train_bytes // len(texts))
-        out[lang] = b" ".join(t[len(t) // 4 :][:share] if len(t) > 2 * share else t[:share] for _, t in sorted(texts))[:train_bytes]
-    return out
+
+    def pieces(text: bytes, share: int) -> bytes:
+        size = -(-share // PIECES)
+        return text if len(text) <= share else b" ".join(text[(2 * k + 1) * len(text) // (2 * PIECES) - size // 2 :][:size] for k in range(PIECES))
+
+    return {lang: b" ".join(pieces(t, -(-train_bytes // len(texts))) for _, t in sorted(texts))[:train_bytes] for lang, texts in found.items()}
 
 
 def languages(docs: DataFrame, folds: int = FOLDS, held: int = HELD, docs_per_language: int = DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:

@@ -4,7 +4,8 @@ A byte-level BPE tokenizer splits a text into pre-tokens and merges inside each
 one alone, so a text's token count is the sum over its pre-tokens. Tier one is
 a compact table of the lengths of frequent pre-tokens, broadcast once; tier two
 is a cache of bounded size in every Python worker, filled by encoding the
-misses with the tokenizer library. No pre-token is ever shuffled, and the
+misses with the tokenizer library (it holds ``cache_bytes`` of pre-tokens of up
+to 256 characters; longer ones are encoded each time). No pre-token is ever shuffled, and the
 counts do not depend on what the table or a cache holds.
 
 The table's entries come from a bounded sample of whole documents (parameter
@@ -36,7 +37,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: The same on the code points of PLAIN, where the standard library's classes agree.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗]*")
-TABLE_ENTRIES, SAMPLE_DOCS, CACHE_ENTRIES, TEXTS_AT_ONCE = 1 << 15, 4000, 1 << 20, 64
+TABLE_ENTRIES, SAMPLE_DOCS, CACHE_BYTES, LONG_PIECE, TEXTS_AT_ONCE = 1 << 15, 4000, 64 << 20, 256, 64
 
 
 def pieces_of(text: str) -> list[str] | None:
@@ -51,7 +52,7 @@ def pieces_of(text: str) -> list[str] | None:
 class Counts:
     """Token counts of texts by table, cache and library."""
 
-    def __init__(self, tokenizer_json: str, frequent: tuple[str, bytes] = ("", b""), cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer_json: str, frequent: tuple[str, bytes] = ("", b""), cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,7 +61,7 @@ class Counts:
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.frequent = dict(zip(frequent[0].split("\0"), frequent[1], strict=True)) if frequent[1] else {}
         self.known = dict(self.frequent)
-        self.most = cache_entries + len(self.frequent)
+        self.most, self.held = cache_bytes, 0
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -77,13 +78,19 @@ class Counts:
             for part in parts:
                 (split if (own := pieces_of(part)) is not None else whole).append((k, own if own is not None else part))
         missing = list(set().union(*(own for _, own in split)).difference(self.known))
-        if len(self.known) + len(missing) > self.most:
-            self.known = dict(self.frequent)
+        size = sum(map(len, missing))
+        if self.held + size > self.most:
+            self.known, self.held = dict(self.frequent), 0
             missing = list(set().union(*(own for _, own in split)).difference(self.known))
+            size = sum(map(len, missing))
         self.known.update(zip(missing, self.encode(missing), strict=True))
+        self.held += size
         look = self.known.__getitem__
         for k, own in split:
             totals[k] += sum(map(look, own))
+        for piece in [p for p in missing if len(p) > LONG_PIECE]:
+            self.held -= len(piece)
+            del self.known[piece]
         for (k, _), n in zip(whole, self.encode([part for _, part in whole]), strict=True):
             totals[k] += n
         return totals
@@ -114,7 +121,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_json: str, entries: int = TABLE_
     return "\0".join(p for p, _ in kept), bytes(n for _, n in kept)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, table_entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, table_entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row, by the tokenizer file at ``tokenizer_path``."""
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
@@ -125,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, table_entries: int = TABL
         counter = _worker.get(key)
         if counter is None:  # the cache lives as long as the worker, over its tasks
             _worker.clear()
-            counter = _worker[key] = Counts(*shared.value, cache_entries)
+            counter = _worker[key] = Counts(*shared.value, cache_bytes)
         for batch in batches:
             totals: list[int] = []
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):

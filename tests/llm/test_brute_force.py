@@ -135,11 +135,30 @@ def test_token_counts(spark):
     texts += ["".join(map(chr, random.Random(k).choices([*range(32, 127), *range(160, 0x600), *range(0x2000, 0x2100), 10, 13, 9], k=300))) for k in range(40)]
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     with open(path, encoding="utf-8") as f:
-        assert tokens.Counts(f.read(), cache_entries=50).count(texts) == want
+        assert tokens.Counts(f.read(), cache_bytes=500).count(texts) == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_tokens for r in tokens.token_counts(docs, path, table_entries=100).orderBy("doc_id").collect()] == want
 
 
+def test_token_counts_of_the_registered_query(spark, sf_dir):
+    """Every document of the table against the library; one long word stays out of the cache."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: (len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in rows}
+    got = queries.op4_token_counts(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(rows)
+    assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    with open(path, encoding="utf-8") as f:
+        counts = tokens.Counts(f.read())
+    word = "ab" * 100_000
+    assert counts.count([word, word + " x"]) == [len(library.encode(t, add_special_tokens=False).ids) for t in (word, word + " x")]
+    assert word not in counts.known and counts.held < 1000
+
+
 # neighbours
 
 
@@ -323,6 +342,36 @@ def test_cross_parsing():
         assert parser.phrases([text])[0].tolist() == [plain(text, texts["a"]), plain(text, texts["b"])], text
 
 
+def test_cross_parsing_of_long_texts():
+    """Over many segment borders, lanes and chunks, the counts are those of the plain parser."""
+    rng = random.Random(3)
+    texts = {k: bytes(rng.choices(b"abc ", weights=w, k=3000)) for k, w in (("a", (5, 2, 1, 1)), ("b", (1, 3, 4, 2)))}
+    parser = language.Parser(texts)
+
+    def plain(text, train):
+        n, i = 0, 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in train:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    # the last holds what no training text does, and stretches of one that never part from it
+    asked = [bytes(rng.choices(b"abc ", k=n)) for n in (1, 255, 256, 257, 700, 20_000)] + [b"", texts["a"], b"abz" * 400 + texts["b"][:1500]]
+    want = [[plain(t, texts["a"]), plain(t, texts["b"])] for t in asked]
+    assert parser.phrases(asked).tolist() == want
+    before, language.LANES = language.LANES, 7
+    try:
+        assert parser.phrases(asked).tolist() == want
+    finally:
+        language.LANES = before
+
+
+def test_letters():
+    assert [bool(language.LETTER.search(t)) for t in ("½²①Ⅷ 7", "é", "日", "ʰ", "_")] == [False, True, True, True, False]
+
+
 def test_languages_held_out(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     got = [r for r in queries.op9_language(spark, sf_dir).collect() if r.held_out]

@@ -79,8 +79,10 @@ def test_chats(spark):
     chats = chat.format_chats(turns).cache()
     back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_chats(chats).collect()}
     assert back == {1: [("user", "</s>[INST] a<<SYS>>"), ("assistant", "x<|im_end|>y\\<|im_sep|>"), ("assistant", ""), ("assistant", ""), ("tool\n<|im_start|>", "last\n")], None: [("", "<\\\\|im_end|>")], 2: [("assistant", "<<<|im_start|>")]}
-    masked = {r.conv_id: r.m for r in chats.select("conv_id", chat.masked_text(chats).alias("m")).collect()}
-    assert masked == {r.conv_id: r.loss_text for r in chat.read_chats(chats).collect()}
+    masked = {r.conv_id: r.loss_text for r in chat.read_chats(chats).collect()}
+    assert masked == {1: "x<|im_end|>y\\<|im_sep|>", None: "", 2: "<<<|im_start|>"}
+    shifted = chats.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["chars"].alias("chars"))))
+    assert {r.conv_id: r.loss_text for r in chat.read_chats(shifted).collect()} != masked  # the mask decides, not the roles
     assert chats.filter("conv_id = 1").first().formatted.count("<|im_start|>assistant") == 1
     assert chat.format_chats(turns.limit(0)).count() == 0
 
@@ -88,5 +90,5 @@ def test_chats(spark):
 def test_long_conversation_offsets(spark):
     turns = spark.range(1300).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     chats = chat.format_chats(turns).cache()
-    assert chats.select(chat.masked_text(chats)).first()[0] == "".join(f"t{k}" for k in range(1300) if k % 3)
+    assert chats.select(chat.masked_text()).first()[0] == "".join(f"t{k}" for k in range(1300) if k % 3)
     assert len(chat.read_chats(chats).first().turns) == 1300
