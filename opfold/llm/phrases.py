@@ -8,10 +8,12 @@ no posting is ever shuffled, and a term that a third of all tokens share is
 spread over all segments.
 
 A search takes the phrases of one block of test items (of bounded bytes) to
-every segment. For each phrase it starts from the rarest term's postings,
-shifts them by the term's offset and intersects them with the offset-adjusted
-postings of the next rarer terms until none is left. ``near`` finds terms
-within a span in any order.
+every segment. Phrases are found by one of their terms, the least common among
+the phrases, so a segment looks only at those whose term it has. For each of
+them it starts from the rarest term's postings, shifts them by the term's
+offset and intersects them with the offset-adjusted postings of the next rarer
+terms until none is left. ``proximity`` finds terms within a span in any order,
+over the same stored index.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
 lowered. A null text has no words. Items without words, or without an id, have
@@ -21,6 +23,7 @@ one row of results, repeated rows too.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,19 +150,35 @@ def windows_of(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
+def by_rarest(phrases: list[tuple[bytes, ...]]) -> dict[bytes, list[int]]:
+    """The phrases' numbers by their term that the fewest phrases hold."""
+    held = Counter(t for p in phrases for t in set(p))
+    out: dict[bytes, list[int]] = {}
+    for k, p in enumerate(phrases):
+        out.setdefault(min(p, key=lambda t: (held[t], t)), []).append(k)
+    return out
+
+
+def segment_of(batch: pa.RecordBatch, row: int) -> tuple[Segment, list[pa.Array], int]:
+    """A row of the stored index: the segment, its documents' ids and text hashes, its number."""
+    c = [batch.column(k)[row].values for k in range(7)]
+    return Segment(c[4].to_pylist(), c[5].to_numpy(), c[6].to_numpy(), c[2].to_numpy(), c[3].to_numpy()), c[:2], batch.column(7)[row].as_py()
+
+
 def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]]) -> DataFrame:
     """For every document of the index the names of the phrases in it and the merged spans of their words."""
     own = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = list(own.value)
+        terms = by_rarest(listed)
         for batch in batches:
             for row in range(batch.num_rows):
-                c = [batch.column(k)[row].values for k in range(7)]
-                segment = batch.column(7)[row].as_py()
-                starts, words = c[2].to_numpy(), c[3].to_numpy()
-                part = Segment(c[4].to_pylist(), c[5].to_numpy(), c[6].to_numpy(), starts, words)
+                part, c, segment = segment_of(batch, row)
+                starts, words = part.starts, part.words
                 where, ends, which = [], [], []
-                for k, phrase in enumerate(own.value):
+                for k in sorted(k for t in (terms if len(terms) < len(part.at) else part.at) if t in part.at and t in terms for k in terms[t]):
+                    phrase = listed[k]
                     if len(found := part.phrase(phrase)):
                         where.append(found)
                         ends.append(found + len(phrase) - 1)
@@ -191,6 +210,28 @@ def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]]) -> Dat
     return index.mapInArrow(run, HITS)
 
 
+def proximity(index: DataFrame, asked: dict[str, tuple[bytes, ...]], span: int) -> DataFrame:
+    """doc_id, text_hash, segment, at, name, first, last: the least intervals of at most ``span`` words that hold all terms of a named set, in any order.
+
+    ``index``: all terms' postings, its gap at least ``span``. Only hits are
+    written. Names without terms find nothing; a term given twice counts once.
+    """
+    own = index.sparkSession.sparkContext.broadcast({name: terms for name, terms in asked.items() if terms})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, (ids, hashes), segment = segment_of(batch, row)
+                found = [(name, a, b) for name, terms in own.value.items() if all(t in part.at for t in terms) for a, b in part.near(terms, span)]
+                first = np.array([a for _, a, _ in found], np.int64)
+                doc = part.document(first)
+                base = part.starts[doc] if len(found) else first
+                columns = [ids.take(pa.array(doc)), hashes.take(pa.array(doc)), pa.array(np.full(len(found), segment, np.int64)), pa.array(doc.astype(np.int32)), pa.array([n for n, _, _ in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array((first - base).astype(np.int32)), pa.array((np.array([b for _, _, b in found], np.int64) - base).astype(np.int32))], names=["doc_id", "text_hash", "segment", "at", "name", "first", "last"])
+
+    return index.mapInArrow(run, "doc_id long, text_hash long, segment long, at int, name string, first int, last int")
+
+
 def item_blocks(items: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, dict[tuple[bytes, ...], list[str]]]]:
     """(number of blocks, phrases of one block): at most about ``block_bytes`` of items each are on the driver."""
     own = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -208,7 +249,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, min_items:
     """Per document row: doc_id, text_hash, n_words, n_hit, n_items, items, spans, contaminated.
 
     Items of one block need only their own terms' postings; more blocks than
-    one share a full index, and their hits are merged per document row.
+    one share a full index, and the hits, of hit documents only, are merged.
     """
     index, found, blocks = None, None, 1
     for blocks, phrases in item_blocks(items, n, block_bytes):
@@ -216,9 +257,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, min_items:
             vocabulary = {t for p in phrases for t in p} if blocks == 1 else None
             index = stored_index(docs, vocabulary, max(64, n))
         hits = search(index, phrases)
+        if blocks > 1:  # only the documents that a block hits; a block's hits are written before the next block's phrases come
+            hits = written(hits.filter(F.size("items") > 0), "hits")
         found = hits if found is None else found.unionByName(hits)
     if blocks > 1:
-        found = written(found, "hits").groupBy("segment", "at", "doc_id", "text_hash", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        joined = found.groupBy("segment", "at").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        rows = index.select("segment", F.posexplode(F.arrays_zip("docs", "hashes", "words")).alias("at", "d")).select("segment", "at", F.col("d.docs").alias("doc_id"), F.col("d.hashes").alias("text_hash"), F.col("d.words").cast("long").alias("n_words"))
+        none = [F.coalesce(F.col(c), F.array().cast(dict(joined.dtypes)[c])).alias(c) for c in ("items", "spans")]
+        found = rows.join(joined, ["segment", "at"], "left").select("doc_id", "text_hash", "segment", "at", "n_words", *none)
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n")),

@@ -122,6 +122,29 @@ def test_near(spark):
     assert part.near((b"a", b"q"), 9) == []
 
 
+def test_proximity_over_the_stored_index(spark, sf_dir):
+    """Every least interval of the registered table's documents, against a plain scan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-5, None), (-6, "")], "doc_id long, text string"))
+    asked = {"a": (b"the", b"of", b"and"), "b": (b"de", b"la"), "c": (b"der", b"der"), "d": (), "e": (b"the", b"nowhere")}
+
+    def plain(words, terms, span):
+        out = []
+        for i, w in enumerate(words):
+            if w in terms:
+                got = set()
+                for j in range(i, min(len(words), i + span)):
+                    got |= {words[j]} & set(terms)
+                    if len(got) == len(set(terms)):
+                        if words[j] not in words[i:j] or len(set(terms)) == 1:
+                            out.append((i, j))
+                        break
+        return [(a, b) for k, (a, b) in enumerate(out) if k + 1 == len(out) or out[k + 1][1] != b]
+
+    want = sorted((r.doc_id, name, a, b) for r in docs.collect() for name, terms in asked.items() if terms for a, b in plain(phrases.words_of((r.text or "").encode()), terms, 6))
+    got = sorted((r.doc_id, r.name, r.first, r.last) for r in phrases.proximity(phrases.stored_index(docs), asked, 6).collect())
+    assert got == want and len(want) > 100
+
+
 # tokens
 
 
