@@ -18,8 +18,11 @@ pairs; the nearest of them of each text are compared exactly. Then all
 candidates still apart are compared, so no link is lost to the forest's choice,
 and only pairs that may join two groups are ever written.
 
-Null and empty texts have the sketch zero. Rows without an id take no part in
-links.
+Of a component one row stays: that with the least id (rows without one come
+last), then the least text hash. Rows are told apart by id and text, so
+different texts under one id are judged each by itself. Null and empty texts
+have the sketch zero and are copies of each other: one of them stays. Of rows
+with one id and one text one stays, the least by the hash of its columns.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opfold.llm.common import LOWER_AND_SPACES, written
-from opfold.llm.simhash import components, keys_of, shingle_hashes
+from opfold.llm.simhash import COUNTED, SLICE_ROWS, components, keys_of, large_buckets, shingle_hashes, sliced
 
 WORDS, SIMILARITY, LANES, NEAREST = 5, 0.8, 4, 4
 SKETCH = [f"s{k}" for k in range(LANES)]
@@ -123,17 +126,18 @@ def pairs_apart(ids: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int
     return links
 
 
-def links_between(distinct: DataFrame, most: int, lane: int = 0) -> DataFrame:
+def links_between(distinct: DataFrame, most: int, lane: int = 0, large: dict[int, int] | None = None) -> DataFrame:
     """Links (a, b, bits) of ids among rows (id, sketch words) that share a Golay key of one sketch word: enough to connect all that link or, if there is a column ``group``, all between groups."""
     grouped = "group" in distinct.columns
     columns = ["id", *SKETCH, *(["group"] if grouped else [])]
     fields = ["key", *columns]
+    slices = distinct.sparkSession.sparkContext.broadcast(large or {})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                rows, keys = keys_of(part.column(1 + lane).to_numpy().view(np.uint64))
+                rows, keys = sliced(*keys_of(part.column(1 + lane).to_numpy().view(np.uint64)), part.column(0).to_numpy(), slices.value)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(take) for c in range(len(columns)))], names=fields)
 
@@ -181,8 +185,9 @@ def links_between(distinct: DataFrame, most: int, lane: int = 0) -> DataFrame:
 def candidates(distinct: DataFrame, most: int) -> DataFrame:
     """``links_between`` by the keys of every sketch word, one after the other."""
     found = None
+    large = large_buckets(distinct, "id", SKETCH, SLICE_ROWS, COUNTED)
     for lane in range(LANES):
-        one = written(links_between(distinct, most, lane), "candidates")
+        one = written(links_between(distinct, most, lane, large[SKETCH[lane]]), "candidates")
         found = one if found is None else found.unionByName(one)
         # Spark deletes a shuffle's files when its plan is collected: else those of all words lie on the disk together
         gc.collect()
@@ -201,8 +206,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return own.join(nodes, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").cast("string").alias("text"))
+    return own.join(nodes, F.col("__id").eqNullSafe(nodes.doc_id) & (F.col("__hash") == nodes.text_hash)).select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -213,10 +218,11 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of the documents whose component holds a smaller id; others have none."""
+    """Every row's doc_id, text_hash, and kept_id and kept_hash of the row that stays of its component."""
     most = margin(similarity)
-    marked = written(sketches(docs, words).filter("doc_id is not null"), "sketches")
-    distinct = written(marked.groupBy(*SKETCH).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least.*"), "distinct")
+    marked = written(sketches(docs, words), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("least")
+    distinct = written(marked.groupBy(*SKETCH).agg(least).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least", "least.doc_id", "least.text_hash"), "distinct")
     first = candidates(distinct, most)
     linked = written(distinct.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
     sets = written(shingle_sets(docs, linked.select("id", "doc_id", "text_hash"), words), "sets")
@@ -227,19 +233,28 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rest = candidates(written(linked.join(groups, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"), "groups"), most)
     more = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, similarity)
     roots = written(components(written(sure.unionByName(more), "links")), "roots")
-    named = written(distinct.join(roots, distinct.id == roots.node, "left").select(*SKETCH, "doc_id", F.coalesce("root", "id").alias("root")), "named")
-    least = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(*SKETCH, "component_id")
-    return marked.join(written(least, "components"), SKETCH).filter("doc_id != component_id").select("doc_id", "component_id")
+    # only what links has a root: a row each of the linked sketches meets them, the rest is its own component
+    named = written(linked.join(roots, linked.id == roots.node).select(*SKETCH, "least", "root"), "named")
+    kept = named.groupBy("root").agg(F.min("least").alias("kept"))
+    of_sketch = written(distinct.join(named.join(kept, "root").select(*SKETCH, "kept"), SKETCH, "left").select(*SKETCH, F.coalesce("kept", "least").alias("kept")), "components")
+    return marked.join(of_sketch, SKETCH).select("doc_id", "text_hash", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """What a row is found again by: its id, null or not, and the hash of its text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), text_hash.cast("string"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id.
+    """The documents, one of each component, with the columns they had.
 
-    Of rows that share that id, one stays. Rows without an id stay. The texts
-    move once, by id, at every size: the ids to drop grow with the input, so
-    they are never broadcast, and repeated ids are dropped in the same pass.
+    The texts move once, by id and text hash, at every size: the rows to drop
+    grow with the input, so they are never broadcast, and repeated rows are
+    dropped in the same pass.
     """
-    gone = written(near_copies(docs, words, similarity).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    known = docs.filter(docs.doc_id.isNotNull())
-    kept = known.join(gone.hint("merge"), known.doc_id == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(docs.doc_id.isNull()))
+    found = near_copies(docs, words, similarity).filter(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))))
+    gone = written(found.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct(), "gone")
+    own = docs.select(row_key(docs.doc_id, F.xxhash64(docs.text)).alias("__key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kept = own.join(gone.hint("merge"), own["__key"] == gone["__gone"], "left_anti")
+    order = F.xxhash64(*(F.col(f"row.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()))
+    return kept.groupBy("__key").agg(F.min_by("row", order).alias("row")).select("row.*")

@@ -20,11 +20,16 @@ made. In a bucket no pairs are emitted: a breadth-first search over the
 popcount matrix, in blocks, yields at most (members - 1) links, the spanning
 forest of the bucket's true links, so that the links written are bounded by
 the keys and connected components lose nothing. Buckets stream in key order
-out of Spark's external sort. Components come from alternating large-star and
-small-star rounds on written tables.
+out of Spark's external sort. A bucket that a sample shows to be large is dealt
+out in slices, every two of which meet in a task of their own, so no link is
+lost and no task holds more than two slices. Components come from alternating
+large-star and small-star rounds on written tables; nodes with more than a
+thousandth of all edges (fewer than a thousand nodes) are looked up by
+broadcast, so that no task gets a hub's edges.
 
 Null texts have no words; no words give fingerprint zero, linked like any
-other. A null doc_id keeps its row and takes no part in the minimum.
+other. A null doc_id keeps its row and takes no part in the minimum. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +54,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b110001110101
 #: Hashes counted at a time, so that a very long text needs little memory.
 HASHES_AT_ONCE = 1 << 16
+#: Members at which a bucket is dealt out in slices, one in how many are counted for that, and edges at which a node may be looked up by broadcast.
+SLICE_ROWS, COUNTED, HUB_EDGES = 1 << 16, 64, 1000
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> Iterator[list[int]]:
@@ -178,21 +185,67 @@ def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS, cells: int = 1 <<
     return links
 
 
-def links_between(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def sliced(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, large: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) with the keys in ``large`` (key: slices) replaced by keys of two slices each; a row goes to all that hold its slice.
+
+    The new keys are hashes: if one meets another bucket, both are compared together.
+    """
+    if not large:
+        return rows, keys
+    names = np.array(sorted(large))
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    hit = names[at] == keys
+    out_rows, out_keys = [rows[~hit]], [keys[~hit]]
+    mix = np.int64(0x9E3779B1)
+    for key in np.unique(keys[hit]).tolist():
+        own = rows[keys == key]
+        n = large[key]
+        part = (ids[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n
+        for other in range(n):
+            to = own[part != other] if n > 1 else own
+            pair = np.minimum(part[part != other], other) * n + np.maximum(part[part != other], other)
+            out_rows.append(to)
+            out_keys.append(((key * mix ^ (pair + 1) * np.int64(0x85EBCA6B)) & np.int64(0x7FFFFFFF)))
+    return np.concatenate(out_rows), np.concatenate(out_keys)
+
+
+def large_buckets(distinct: DataFrame, column: str, lanes: list[str], slice_rows: int, counted: int = COUNTED) -> dict[str, dict[int, int]]:
+    """For each column of fingerprints the large buckets and in how many slices to deal them out, by the keys of one row in ``counted``.
+
+    At most 100 000 buckets in all are named: where more are large, the threshold rises.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(lanes)):
+                fps = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
+                for at in range(0, len(fps), 4096):
+                    keys, n = np.unique(keys_of(fps[at : at + 4096])[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int32)), pa.array(n)], names=["lane", "key", "n"])
+
+    sample = distinct.filter(F.pmod(F.xxhash64(column, F.lit("counted")), F.lit(counted)) == 0)
+    found = sample.select(*lanes).mapInArrow(run, "lane int, key int, n long").groupBy("lane", "key").agg(F.sum("n").alias("n")).filter(F.col("n") * counted > slice_rows)
+    out: dict[str, dict[int, int]] = {c: {} for c in lanes}
+    for r in found.orderBy(F.desc("n"), "lane", "key").limit(100_000).collect():
+        out[lanes[r.lane]][r.key] = max(2, -(-r.n * counted // slice_rows))
+    return out
+
+
+def links_between(distinct: DataFrame, max_bits: int = MAX_BITS, slice_rows: int = SLICE_ROWS, counted: int = COUNTED) -> DataFrame:
     """Links (a, b) among the distinct values of column fp, enough to connect all that link."""
     if max_bits > MAX_BITS:
         raise ValueError("the segments guarantee candidates up to four differing bits")
+    large = distinct.sparkSession.sparkContext.broadcast(large_buckets(distinct, "fp", ["fp"], slice_rows, counted)["fp"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
-                rows, keys = keys_of(part)
+                rows, keys = sliced(*keys_of(part), part, large.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[rows].view(np.int64))], names=["key", "fp"])
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
 
         def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -213,8 +266,7 @@ def links_between(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             keys, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(keys):
                 continue
-            last = held_k[0] if len(held_k) else (pending[0][0][0] if pending else None)
-            if last is not None and keys[-1] == last:  # one bucket goes on over the whole batch
+            if pending and keys[-1] == pending[0][0][0]:  # one bucket goes on over the whole batch
                 pending.append((keys, fps))
                 continue
             if pending:
@@ -229,7 +281,33 @@ def links_between(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(in_bucket, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def star(edges: DataFrame, by: str, hub_edges: int) -> DataFrame:
+    """One round over edges (u, v), u > v: hung on their least neighbours are the larger neighbours of each v (by "v"), or the smaller ones of each u (by "u").
+
+    A node's edges meet its least neighbour in a join by node, but for hubs:
+    nodes of more than ``hub_edges`` edges, and a thousandth of all, are few,
+    and known to every task.
+    """
+    spark = edges.sparkSession
+    other = "u" if by == "v" else "v"
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    degree = edges.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(max(hub_edges, edges.count() // 1000))).select(by)
+    hubs = degree.join(low, degree[by] == low["u"], "left").select(degree[by].alias("x"), F.coalesce(low["m"], degree[by]).alias("m")).collect()
+    if hubs:
+        known = F.broadcast(spark.createDataFrame([(r.x, r.m) for r in hubs], "x long, m long"))
+        near = edges.join(known, edges[by] == known.x)
+        rest = edges.join(known, edges[by] == known.x, "left_anti")
+    else:
+        near, rest = None, edges
+    least = low.select(F.col("u").alias("x"), "m")
+    joined = rest.join(least, rest[by] == least.x, "left").select(other, F.coalesce("m", by).alias("m"))
+    if near is not None:
+        joined = joined.union(near.select(other, "m"))
+    hung = joined.select(F.col(other).alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return hung.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def components(links: DataFrame, rounds: int = 60, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(node, root) of every node of the links (a, b); root is the component's least node.
 
     Alternating star rounds: each node's larger neighbours, then each node's
@@ -239,12 +317,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     total = None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        edges = written(small, "edges")
+        edges = written(star(edges, "v", hub_edges), "edges")
+        edges = written(star(edges, "u", hub_edges), "edges")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
         if now[0] == now[2] and now == total:
             break
@@ -267,17 +341,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     named = linked.join(least, "root").select("fp", "component_id")
     of_fp = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, one of each component: the one with the smallest doc_id.
-
-    Of rows that share that id, one stays. Rows without an id stay. The texts
-    move once, by id, at every size: the ids to drop grow with the input, so
-    they are never broadcast, and repeated ids are dropped in the same pass.
-    """
-    found = near_duplicates(docs, words, max_bits)
-    gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    known = docs.filter(docs.doc_id.isNotNull())
-    kept = known.join(gone.hint("merge"), known.doc_id == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(docs.doc_id.isNull()))

@@ -90,6 +90,25 @@ def test_links_lose_nothing(spark):
     assert [find(f) for f in fps] == [fps[r] for r in want]
 
 
+def test_slices_of_large_buckets_lose_nothing(spark):
+    """All 300 in one bucket, dealt out in slices of a few: the same components."""
+    rng = random.Random(6)
+    fps = sorted({0x1234 ^ sum(1 << b for b in rng.sample(range(22, 64), rng.randint(0, 9))) for _ in range(300)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    large = simhash.large_buckets(df, "fp", ["fp"], 20, 1)["fp"]
+    assert max(large.values()) > 5
+    one, many = ({r.node: r.root for r in simhash.components(simhash.links_between(df, slice_rows=n, counted=1)).collect()} for n in (1 << 16, 20))
+    assert one == many and len(set(one.values())) > 1
+
+
+def test_components_with_hubs(spark):
+    """Hubs by broadcast give what joins give: a chain of stars, and a star on its largest node."""
+    edges = [(1000 * k, 1000 * k + j) for k in range(1, 6) for j in range(1, 60)] + [(1000 * k + 5, 1000 * k + 1000) for k in range(1, 5)] + [(99_999, j) for j in range(20_000, 20_050)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    joins, hubs = ({(r.node, r.root) for r in simhash.components(df, hub_edges=n).collect()} for n in (10_000, 10))
+    assert joins == hubs and {root for _, root in hubs} == {1000, 20_000} and len(hubs) == 5 * 60 + 51
+
+
 def test_bucket_of_many(spark):
     fps = np.array([1 << a | 1 << b for a, b in combinations(range(64), 2)], np.uint64)
     links = simhash.spanning_links(fps, cells=1 << 12)
