@@ -9,29 +9,40 @@ from opfold.llm.common import kept_by_score, read, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are judged as texts without any mark of quality. Every
+    row is judged by itself, repeated ones too; columns stay as they are.
+    """
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
     return kept_by_score(docs, quality.scores_of(spark, model), lambda scores: scores >= quality.THRESHOLD)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier marks as toxic go."""
+    """Documents that the toxicity classifier marks as toxic go.
+
+    Null and empty texts hold no evidence and stay, unless most labels are toxic.
+    """
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return kept_by_score(docs, toxicity.scores_of(spark, model), lambda scores: scores < toxicity.THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8.
+
+    The one with the least id; of null and empty texts, copies of each other,
+    one stays. Different texts under one id are judged each by itself.
+    """
     return copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of any benchmark item go."""
+    """Documents with a window of any benchmark item go; null and empty texts have none."""
     return phrases.decontaminate(docs, read(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its place in a mixture of the sources by target weight."""
+    """Every document gets its place in a mixture of the sources by target weight; a null source is one of them."""
     return mixing.mix(docs)
 
 
