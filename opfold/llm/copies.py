@@ -6,17 +6,21 @@ one bit in seven differs. Here every text gets a sketch of 256 majority bits
 (two 128-bit hashes of each shingle); two texts are near copies when their sets
 of shingles, compared exactly, have the given similarity.
 
-Candidates share a Golay key of one of the sketch's four words and differ in no
-more bits than ``margin``: three standard deviations over what is expected of
-sets of equal size with that similarity. A pair at a similarity of 0.8 misses
-one word's keys in about one of five cases (README), all four words' in one of
-hundreds. A word's keys are made, and its shuffle is left behind, at a time.
-
-Sketches travel with their keys, so that a bucket is judged where it lies.
-First a search by breadth yields a spanning forest of its candidates, never its
-pairs; the nearest of them of each text are compared exactly. Then all
-candidates still apart are compared, so no link is lost to the forest's choice,
-and only pairs that may join two groups are ever written.
+Candidates share a Golay key of one of ``KEYED`` of the sketch's four words and
+differ in no more bits than ``margin``: three standard deviations over what is
+expected of sets of equal size with that similarity. A pair at a similarity of
+0.8 misses one word's keys in about one of five cases (README), all three
+words' in one of a hundred. A word's keys are made, and its shuffle is left
+behind, at a time.
+
+Sketches travel with their keys, so that a bucket is judged where it lies. It
+yields each member's ``NEAREST`` candidates, never its pairs, and says which
+members have more. The nearest of all are compared exactly and join groups;
+then what else was yielded between groups is. Between two members that both
+have more than was yielded there may be pairs not seen yet: these members alone
+meet again in their buckets, with sketches of 1024 bits (a margin of 0.06 in
+similarity), and all pairs of different groups within that margin are compared
+exactly, so no link is lost to the choice of the nearest.
 
 Of a component one row stays: that with the least id (rows without one come
 last), then the least text hash. Rows are told apart by id and text, so
@@ -35,13 +39,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opfold.llm.common import LOWER_AND_SPACES, written
-from opfold.llm.simhash import COUNTED, SLICE_ROWS, components, keys_of, large_buckets, shingle_hashes, sliced
+from opfold.llm.simhash import COUNTED, components, keys_of, large_buckets, shingle_hashes, sliced
 
-WORDS, SIMILARITY, LANES, NEAREST = 5, 0.8, 4, 4
+WORDS, SIMILARITY, LANES, KEYED, NEAREST, FIRST, LONG = 5, 0.8, 4, 3, 8, 2, 16
+#: Members of a bucket in the copies' search beyond which it is dealt out in slices, and up to which it is judged together with others.
+SLICE_ROWS, FEW = 1 << 14, 48
 SKETCH = [f"s{k}" for k in range(LANES)]
 HASHES_AT_ONCE = 1 << 15
 
@@ -51,10 +57,10 @@ def bits_apart(similarity: float) -> int:
     return math.ceil(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def margin(similarity: float) -> int:
+def margin(similarity: float, lanes: int = LANES) -> int:
     """Differing bits that a pair of that similarity stays within, but for one in several hundred."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * LANES * p + 3 * math.sqrt(64 * LANES * p * (1 - p)))
+    return math.ceil(64 * lanes * p + 3 * math.sqrt(64 * lanes * p * (1 - p)))
 
 
 def sketch(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -88,126 +94,172 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def spanning_links(ids: np.ndarray, rows: np.ndarray, most: int, cells: int = 1 << 20) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows of sketch words, compared in bounded blocks with those not reached yet."""
-    links: list[tuple[int, int]] = []
-    rest = np.arange(len(ids))
-    while len(rest) > 1:
-        frontier, rest = rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            step = max(1, cells // len(rest))
-            block, frontier = frontier[:step], frontier[step:]
-            apart = np.zeros((len(block), len(rest)), np.uint16)
-            for k in range(rows.shape[1]):
-                apart += np.bitwise_count(rows[block, k][:, None] ^ rows[rest, k][None, :])
-            near = apart <= most
-            reached = near.any(axis=0)
-            if reached.any():
-                links += zip(ids[block[near.argmax(axis=0)[reached]]].tolist(), ids[rest[reached]].tolist(), strict=True)
-                frontier = np.concatenate([frontier, rest[reached]])
-                rest = rest[~reached]
-    return links
-
-
-def pairs_apart(ids: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int, cells: int = 1 << 20) -> list[tuple[int, int]]:
-    """All links among rows of sketch words whose groups differ."""
-    names, of = np.unique(groups, return_inverse=True)
-    if len(names) < 2:
-        return []
-    rest, links = np.flatnonzero(of != np.bincount(of).argmax()), []  # within the largest group there is nothing to find
-    step = max(1, cells // len(ids))
-    for at in range(0, len(rest), step):
-        block = rest[at : at + step]
-        apart = np.zeros((len(block), len(ids)), np.uint16)
+def bits_between(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+
+
+def blocks_of(rows: np.ndarray, some: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the rows, in blocks, and their differing bits to all rows."""
+    step = max(1, cells // max(1, len(rows)))
+    for at in range(0, len(some), step):
+        block = some[at : at + step]
+        apart = np.zeros((len(block), len(rows)), np.uint16)
         for k in range(rows.shape[1]):
             apart += np.bitwise_count(rows[block, k][:, None] ^ rows[:, k][None, :])
-        x, y = np.nonzero((apart <= most) & (of[block][:, None] != of[None, :]))
-        links += zip(ids[block[x]].tolist(), ids[y].tolist(), strict=True)
-    return links
+        yield block, apart
+
+
+def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of buckets in key order: pairs (x, y) of places that hold one of the ``nearest`` candidates of x in its bucket, and the places that have more."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    xs, ys, bs = [], [], []
+    small = np.repeat(sizes <= FEW, sizes)
+    for d in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+        x = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d])
+        bits = bits_between(rows, x, x + d)
+        x, bits = x[bits <= most], bits[bits <= most]
+        xs += [x, x + d]
+        ys += [x + d, x]
+        bs += [bits, bits]
+    more = []
+    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        for block, apart in blocks_of(rows[s : s + n], np.arange(n)):
+            apart[np.arange(len(block)), block] = most + 1
+            x, y = np.nonzero(apart <= most)
+            bits = apart[x, y].astype(np.int64)
+            order = np.lexsort((ids[s + y], bits, x))
+            x, y, bits = x[order], y[order], bits[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+            more.append(s + block[np.unique(x[place >= nearest])])
+            xs.append(s + block[x[place < nearest]])
+            ys.append(s + y[place < nearest])
+            bs.append(bits[place < nearest])
+    x, y, bits = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (xs, ys, bs))
+    order = np.lexsort((ids[y], bits, x))
+    x, y = x[order], y[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+    return x[place < nearest], y[place < nearest], np.unique(np.concatenate([x[place >= nearest], *more]))
+
+
+def pairs_apart(keys: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates (x, y), of buckets in key order, whose groups differ."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    mixed = np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts) if len(keys) else np.zeros(0, bool)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+        _, of = np.unique(groups[s : s + n], return_inverse=True)
+        # within the largest group there is nothing to find
+        for block, apart in blocks_of(rows[s : s + n], np.flatnonzero(of != np.bincount(of).argmax())):
+            x, y = np.nonzero((apart <= most) & (of[block][:, None] != of[None, :]))
+            xs.append(s + block[x])
+            ys.append(s + y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[list[np.ndarray]]:
+    """Arrays (the first: keys) of whole buckets, out of batches in key order; a bucket that goes on waits for its end."""
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = arrays(batch)
+        if waiting and own[0][-1] == waiting[0][0][0]:
+            waiting.append(own)
+            continue
+        if waiting:
+            own = [np.concatenate(c) for c in zip(*waiting, own, strict=True)]
+        cut = int(np.searchsorted(own[0], own[0][-1], "left"))
+        yield [c[:cut] for c in own]
+        waiting = [[c[cut:] for c in own]]
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
 
 
-def links_between(distinct: DataFrame, most: int, lane: int = 0, large: dict[int, int] | None = None) -> DataFrame:
-    """Links (a, b, bits) of ids among rows (id, sketch words) that share a Golay key of one sketch word: enough to connect all that link or, if there is a column ``group``, all between groups."""
-    grouped = "group" in distinct.columns
-    columns = ["id", *SKETCH, *(["group"] if grouped else [])]
-    fields = ["key", *columns]
-    slices = distinct.sparkSession.sparkContext.broadcast(large or {})
+def keyed(rows: DataFrame, lane: int, large: dict[int, int], columns: list[str]) -> DataFrame:
+    """The columns (the first: id) of each row beside each of its Golay keys of one sketch word, in buckets."""
+    slices = rows.sparkSession.sparkContext.broadcast(large)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                rows, keys = sliced(*keys_of(part.column(1 + lane).to_numpy().view(np.uint64)), part.column(0).to_numpy(), slices.value)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(take) for c in range(len(columns)))], names=fields)
-
-    def solve(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(keys)))
-        two = starts[sizes == 2]
-        hit = two[(np.bitwise_count(rows[two] ^ rows[two + 1]).sum(axis=1) <= most) & (groups[two] != groups[two + 1])] if len(two) else two
-        yield batch_of(list(zip(hit.tolist(), (hit + 1).tolist(), strict=True)), ids, rows)
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = slice(s, s + n)
-            found = pairs_apart(np.arange(s, s + n), groups[own], rows[own], most) if grouped else spanning_links(np.arange(s, s + n), rows[own], most)
-            if found:
-                yield batch_of(found, ids, rows)
-
-    def batch_of(links: list[tuple[int, int]], ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        x, y = np.array(links, np.int64).reshape(-1, 2).T
-        bits = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(bits)], names=["a", "b", "bits"])
-
-    def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets out of rows in key order; a bucket that goes on waits for its end."""
-        waiting: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = np.stack([batch.column(2 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
-            groups = batch.column(2 + LANES).to_numpy() if grouped else ids
-            if waiting and keys[-1] == waiting[0][0][0]:
-                waiting.append((keys, ids, rows, groups))
-                continue
-            if waiting:
-                keys, ids, rows, groups = (np.concatenate([*(w[k] for w in waiting), x]) for k, x in enumerate((keys, ids, rows, groups)))
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            yield from solve(keys[:cut], ids[:cut], rows[:cut], groups[:cut])
-            waiting = [(keys[cut:], ids[cut:], rows[cut:], groups[cut:])]
-        if waiting:
-            yield from solve(*(np.concatenate([w[k] for w in waiting]) for k in range(4)))
+                own, keys = sliced(*keys_of(part.column(0).to_numpy().view(np.uint64)), part.column(1).to_numpy(), slices.value)
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(1 + c).take(take) for c in range(len(columns)))], names=["key", *columns])
 
-    keyed = distinct.select(*columns).mapInArrow(emit, "key int, " + ", ".join(f"{c} long" for c in columns))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(in_bucket, "a long, b long, bits int").distinct()
+    kinds = dict(rows.dtypes)
+    made = rows.select(F.col(SKETCH[lane]).alias("__word"), *columns).mapInArrow(emit, "key int, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return made.repartition("key").sortWithinPartitions("key")
 
 
-def candidates(distinct: DataFrame, most: int) -> DataFrame:
-    """``links_between`` by the keys of every sketch word, one after the other."""
+def pairs_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of ids, the smaller first."""
+    pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), bits]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs], names=["a", "b", "bits"])
+
+
+def by_lanes(search, name: str, spark: SparkSession) -> DataFrame:
+    """The distinct rows that ``search`` finds by the keys of each sketch word, one after the other."""
     found = None
-    large = large_buckets(distinct, "id", SKETCH, SLICE_ROWS, COUNTED)
-    for lane in range(LANES):
-        one = written(links_between(distinct, most, lane, large[SKETCH[lane]]), "candidates")
+    for lane in range(KEYED):
+        one = written(search(lane).distinct(), name)
         found = one if found is None else found.unionByName(one)
         # Spark deletes a shuffle's files when its plan is collected: else those of all words lie on the disk together
         gc.collect()
-        distinct.sparkSession.sparkContext._jvm.System.gc()
-    return written(found.distinct(), "candidates")
+        spark.sparkContext._jvm.System.gc()
+    return written(found.distinct(), name)
+
+
+def candidates(distinct: DataFrame, most: int, large: dict[str, dict[int, int]]) -> DataFrame:
+    """Candidates (a, b, bits) among rows (id, sketch words) by each member's nearest in every bucket; (a, a, -1): a has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, rows in whole_buckets(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)]):
+            x, y, more = nearest_in(keys, ids, rows, most)
+            yield pairs_of(ids, np.concatenate([x, more]), np.concatenate([y, more]), np.concatenate([bits_between(rows, x, y), np.full(len(more), -1)]))
+
+    return by_lanes(lambda lane: keyed(distinct, lane, large[SKETCH[lane]], ["id", *SKETCH]).mapInArrow(run, "a long, b long, bits long"), "candidates", distinct.sparkSession)
+
+
+def candidates_apart(rows: DataFrame, most: int, large: dict[str, dict[int, int]]) -> DataFrame:
+    """All candidates (a, b) of different groups among rows (id, sketch words, group, long) by their long sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, groups, sketches_ in whole_buckets(batches, lambda b: [*(b.column(k).to_numpy() for k in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, LONG)]):
+            x, y = pairs_apart(keys, groups, sketches_, most)
+            yield pairs_of(ids, x, y, np.zeros(len(x), np.int64)).select(["a", "b"])
+
+    return by_lanes(lambda lane: keyed(rows, lane, large[SKETCH[lane]], ["id", "group", "long"]).mapInArrow(run, "a long, b long"), "apart", rows.sparkSession)
+
+
+def long_sketch(shingles: np.ndarray) -> bytes:
+    """1024 majority bits of a set of hashes: of each hash, mixed sixteen times."""
+    counts, n = np.zeros(64 * LONG, np.int64), len(shingles)
+    for at in range(0, n, 4096):
+        state = shingles[at : at + 4096, None] + np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        state = (state ^ state >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        state = (state ^ state >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        state ^= state >> np.uint64(31)
+        counts += np.unpackbits(state.view(np.uint8).reshape(len(state), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """id and shingles (distinct hashes) of the nodes (id, doc_id, text_hash)."""
+    """id, shingles (distinct hashes) and long sketch of the nodes (id, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = pc.cast(part.column(1), pa.binary())
-                sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([long_sketch(x) for x in sets], pa.binary())], names=["id", "shingles", "long"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").cast("string").alias("text"))
-    return own.join(nodes, F.col("__id").eqNullSafe(nodes.doc_id) & (F.col("__hash") == nodes.text_hash)).select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    found = own.join(nodes, F.col("__id").eqNullSafe(nodes.doc_id) & (F.col("__hash") == nodes.text_hash))
+    return found.select("id", "text").mapInArrow(run, "id long, shingles array<long>, long binary").dropDuplicates(["id"])
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -223,16 +275,23 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     marked = written(sketches(docs, words), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("least")
     distinct = written(marked.groupBy(*SKETCH).agg(least).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least", "least.doc_id", "least.text_hash"), "distinct")
-    first = candidates(distinct, most)
-    linked = written(distinct.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
+    large = large_buckets(distinct, "id", SKETCH[:KEYED], SLICE_ROWS, COUNTED)
+    found = candidates(distinct, most, large)
+    pairs, more = found.filter("a != b"), found.filter("a = b").select(F.col("a").alias("id"))
+    linked = written(distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
     sets = written(shingle_sets(docs, linked.select("id", "doc_id", "text_hash"), words), "sets")
-    nearest = first.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).filter(F.col("__n") <= NEAREST).select("a", "b")
-    nearest = written(nearest, "nearest")
-    sure = written(verified(nearest, sets, similarity), "sure")
-    groups = components(sure).withColumnRenamed("node", "id")
-    rest = candidates(written(linked.join(groups, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"), "groups"), most)
-    more = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, similarity)
-    roots = written(components(written(sure.unionByName(more), "links")), "roots")
+    both = pairs.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("x"))
+    ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy("x").orderBy("bits", "a", "b")))
+    first = written(ranked.filter(F.col("__n") <= FIRST).select("a", "b").distinct(), "first")
+    sure = written(verified(first, sets, similarity), "sure")
+    groups = components(sure)
+    grouped = written(linked.join(groups, linked.id == groups.node, "left").select("id", *SKETCH, F.coalesce("root", "id").alias("group")), "groups")
+    of_a, of_b = (grouped.select(F.col("id").alias(c), F.col("group").alias(f"of_{c}")) for c in "ab")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").filter("of_a != of_b").select("a", "b")
+    open_rows = written(grouped.join(more, "id", "left_semi").join(sets.select("id", "long"), "id"), "open")
+    apart = candidates_apart(open_rows, margin(similarity, LONG), large).join(pairs, ["a", "b"], "left_anti")
+    joined = written(verified(written(rest.union(apart), "rest"), sets, similarity), "more")
+    roots = written(components(sure.unionByName(joined)), "roots")
     # only what links has a root: a row each of the linked sketches meets them, the rest is its own component
     named = written(linked.join(roots, linked.id == roots.node).select(*SKETCH, "least", "root"), "named")
     kept = named.groupBy("root").agg(F.min("least").alias("kept"))

@@ -475,6 +475,32 @@ def test_pairs_are_near_copies_by_exact_similarity(spark):
     assert {k for k in kept if k >= 1000} == {1000, 1001}
 
 
+def test_components_of_a_chained_family(spark):
+    """One large group whose members link to some of the others only: the rows that stay are those of the exact components."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, rows = rng.choices(pool, k=150), []
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 14)):
+            copy[at] = rng.choice(pool)
+        rows.append((k, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert {r.doc_id for r in copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and 100 < len(want) < 290
+
+
 def test_sketch_of_few_words():
     assert copies.sketch(None).tolist() == [0] * 4 == copies.sketch(b" \t").tolist()
     assert (copies.sketch(b"One  two\nthree") == copies.sketch(b"one two three")).all()
