@@ -14,13 +14,15 @@ words' in one of a hundred. A word's keys are made, and its shuffle is left
 behind, at a time.
 
 Sketches travel with their keys, so that a bucket is judged where it lies. It
-yields each member's ``NEAREST`` candidates, never its pairs, and says which
-members have more. The nearest of all are compared exactly and join groups;
-then what else was yielded between groups is. Between two members that both
-have more than was yielded there may be pairs not seen yet: these members alone
-meet again in their buckets, with sketches of 1024 bits (a margin of 0.06 in
-similarity), and all pairs of different groups within that margin are compared
-exactly, so no link is lost to the choice of the nearest.
+yields each member's ``NEAREST`` candidates, never its pairs; where members have
+more, it says which and adds a spanning forest of the bucket's candidates. The
+nearest of all are compared exactly and join groups; then what else was yielded
+between groups is. Between two members that both have more than was yielded
+there may be pairs not seen yet. Both are in one component of the forests, a
+family: these members alone meet by family, once each, with sketches of 1024
+bits (a margin of 0.06 in similarity), and all pairs of different groups within
+that margin are compared exactly. So no link is lost to the choice of the
+nearest. A large family is dealt out in slices, every two of which meet.
 
 Of a component one row stays: that with the least id (rows without one come
 last), then the least text hash. Rows are told apart by id and text, so
@@ -142,6 +144,26 @@ def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, n
     return x[place < nearest], y[place < nearest], np.unique(np.concatenate([x[place >= nearest], *more]))
 
 
+def forest_in(keys: np.ndarray, rows: np.ndarray, most: int, more: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (x, y) of the candidates in each bucket that holds one of the places ``more``, searched by breadth."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = np.unique(np.searchsorted(keys, keys[more], "left"))
+    for s, e in zip(starts.tolist(), np.searchsorted(keys, keys[starts], "right").tolist(), strict=True):
+        rest = np.arange(s, e)
+        while len(rest) > 1:
+            frontier, rest = rest[:1], rest[1:]
+            while len(frontier) and len(rest):
+                step = max(1, cells // len(rest))
+                block, frontier = frontier[:step], frontier[step:]
+                near = np.bitwise_count(rows[block][:, None, :] ^ rows[rest][None, :, :]).sum(axis=2, dtype=np.uint16) <= most
+                reached = near.any(axis=0)
+                if reached.any():
+                    xs.append(block[near.argmax(axis=0)[reached]])
+                    ys.append(rest[reached])
+                    frontier, rest = np.concatenate([frontier, rest[reached]]), rest[~reached]
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def pairs_apart(keys: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """All candidates (x, y), of buckets in key order, whose groups differ."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -213,25 +235,36 @@ def by_lanes(search, name: str, spark: SparkSession) -> DataFrame:
 
 
 def candidates(distinct: DataFrame, most: int, large: dict[str, dict[int, int]]) -> DataFrame:
-    """Candidates (a, b, bits) among rows (id, sketch words) by each member's nearest in every bucket; (a, a, -1): a has more."""
+    """Candidates (a, b, bits) among rows (id, sketch words) by each member's nearest in every bucket; (a, a, -1): a has more; (a, b, -2): in the forest of a bucket where one has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, rows in whole_buckets(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)]):
             x, y, more = nearest_in(keys, ids, rows, most)
-            yield pairs_of(ids, np.concatenate([x, more]), np.concatenate([y, more]), np.concatenate([bits_between(rows, x, y), np.full(len(more), -1)]))
+            p, q = forest_in(keys, rows, most, more)
+            bits = np.concatenate([bits_between(rows, x, y), np.full(len(more), -1), np.full(len(p), -2)])
+            yield pairs_of(ids, np.concatenate([x, more, p]), np.concatenate([y, more, q]), bits)
 
     return by_lanes(lambda lane: keyed(distinct, lane, large[SKETCH[lane]], ["id", *SKETCH]).mapInArrow(run, "a long, b long, bits long"), "candidates", distinct.sparkSession)
 
 
-def candidates_apart(rows: DataFrame, most: int, large: dict[str, dict[int, int]]) -> DataFrame:
-    """All candidates (a, b) of different groups among rows (id, sketch words, group, long) by their long sketches."""
+def candidates_apart(rows: DataFrame, most: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """All candidates (a, b) of different groups within a family, among rows (id, family, group, long), by their long sketches."""
+    spark = rows.sparkSession
+    large = rows.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows).select("family", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+    dealt = rows.join(large, "family", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    # a row goes wherever its slice meets another; two slices are one cell anyway
+    others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: k != own)
+    cells = F.when(F.col("slices") > 2, F.transform(others, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    moved = dealt.withColumn("cell", F.explode(cells))
+    moved = moved.select(F.xxhash64("family", "cell").alias("key"), "id", "group", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, groups, sketches_ in whole_buckets(batches, lambda b: [*(b.column(k).to_numpy() for k in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, LONG)]):
             x, y = pairs_apart(keys, groups, sketches_, most)
             yield pairs_of(ids, x, y, np.zeros(len(x), np.int64)).select(["a", "b"])
 
-    return by_lanes(lambda lane: keyed(rows, lane, large[SKETCH[lane]], ["id", "group", "long"]).mapInArrow(run, "a long, b long"), "apart", rows.sparkSession)
+    return written(moved.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "apart")
 
 
 def long_sketch(shingles: np.ndarray) -> bytes:
@@ -247,7 +280,7 @@ def long_sketch(shingles: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """id, shingles (distinct hashes) and long sketch of the nodes (id, doc_id, text_hash)."""
+    """id, shingles (distinct hashes, of 32 bits: they move with every pair) and long sketch of the nodes (id, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,11 +288,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = pc.cast(part.column(1), pa.binary())
                 sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([long_sketch(x) for x in sets], pa.binary())], names=["id", "shingles", "long"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32())), pa.array([long_sketch(x) for x in sets], pa.binary())], names=["id", "shingles", "long"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").cast("string").alias("text"))
     found = own.join(nodes, F.col("__id").eqNullSafe(nodes.doc_id) & (F.col("__hash") == nodes.text_hash))
-    return found.select("id", "text").mapInArrow(run, "id long, shingles array<long>, long binary").dropDuplicates(["id"])
+    return found.select("id", "text").mapInArrow(run, "id long, shingles array<int>, long binary").dropDuplicates(["id"])
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -277,7 +310,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     distinct = written(marked.groupBy(*SKETCH).agg(least).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least", "least.doc_id", "least.text_hash"), "distinct")
     large = large_buckets(distinct, "id", SKETCH[:KEYED], SLICE_ROWS, COUNTED)
     found = candidates(distinct, most, large)
-    pairs, more = found.filter("a != b"), found.filter("a = b").select(F.col("a").alias("id"))
+    pairs, more, forest = found.filter("bits >= 0"), found.filter("bits = -1").select(F.col("a").alias("id")), found.filter("bits = -2").select("a", "b")
     linked = written(distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
     sets = written(shingle_sets(docs, linked.select("id", "doc_id", "text_hash"), words), "sets")
     both = pairs.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("x"))
@@ -285,11 +318,14 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     first = written(ranked.filter(F.col("__n") <= FIRST).select("a", "b").distinct(), "first")
     sure = written(verified(first, sets, similarity), "sure")
     groups = components(sure)
-    grouped = written(linked.join(groups, linked.id == groups.node, "left").select("id", *SKETCH, F.coalesce("root", "id").alias("group")), "groups")
+    grouped = written(linked.join(groups, linked.id == groups.node, "left").select("id", F.coalesce("root", "id").alias("group")), "groups")
     of_a, of_b = (grouped.select(F.col("id").alias(c), F.col("group").alias(f"of_{c}")) for c in "ab")
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").filter("of_a != of_b").select("a", "b")
-    open_rows = written(grouped.join(more, "id", "left_semi").join(sets.select("id", "long"), "id"), "open")
-    apart = candidates_apart(open_rows, margin(similarity, LONG), large).join(pairs, ["a", "b"], "left_anti")
+    families = components(forest).select(F.col("node").alias("id"), F.col("root").alias("family"))
+    open_rows = grouped.join(more, "id", "left_semi").join(families, "id")
+    mixed = open_rows.groupBy("family").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("family")
+    open_rows = written(open_rows.join(mixed, "family", "left_semi").join(sets.select("id", "long"), "id"), "open")
+    apart = candidates_apart(open_rows, margin(similarity, LONG)).join(pairs, ["a", "b"], "left_anti")
     joined = written(verified(written(rest.union(apart), "rest"), sets, similarity), "more")
     roots = written(components(sure.unionByName(joined)), "roots")
     # only what links has a root: a row each of the linked sketches meets them, the rest is its own component

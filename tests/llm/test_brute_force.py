@@ -501,6 +501,17 @@ def test_components_of_a_chained_family(spark):
     assert {r.doc_id for r in copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and 100 < len(want) < 290
 
 
+def test_families_in_slices_give_what_whole_ones_give(spark):
+    rng = np.random.default_rng(9)
+    center = rng.bytes(128)
+    flips = [bytes(x ^ y for x, y in zip(center, np.packbits(rng.random(1024) < 0.08).tobytes(), strict=True)) for _ in range(60)]
+    rows = spark.createDataFrame([(k, k // 40, k % 7, bytearray(f)) for k, f in enumerate(flips)], "id long, family long, group long, long binary")
+    whole, two, many = ({(r.a, r.b) for r in copies.candidates_apart(rows, 160, n).collect()} for n in (1000, 20, 7))
+    bits = [np.frombuffer(f, np.uint8) for f in flips]
+    want = {(i, j) for i, j in combinations(range(60), 2) if i // 40 == j // 40 and i % 7 != j % 7 and np.bitwise_count(bits[i] ^ bits[j]).sum() <= 160}
+    assert whole == two == many == want and len(want) > 100
+
+
 def test_sketch_of_few_words():
     assert copies.sketch(None).tolist() == [0] * 4 == copies.sketch(b" \t").tolist()
     assert (copies.sketch(b"One  two\nthree") == copies.sketch(b"one two three")).all()
