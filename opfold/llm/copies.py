@@ -19,10 +19,12 @@ more, it says which and adds a spanning forest of the bucket's candidates. The
 nearest of all are compared exactly and join groups; then what else was yielded
 between groups is. Between two members that both have more than was yielded
 there may be pairs not seen yet. Both are in one component of the forests, a
-family: these members alone meet by family, once each, with sketches of 1024
-bits (a margin of 0.06 in similarity), and all pairs of different groups within
-that margin are compared exactly. So no link is lost to the choice of the
-nearest. A large family is dealt out in slices, every two of which meet.
+family: these members alone meet by family, once each, with their shingles and
+with sketches of 1024 bits; all pairs of different groups within the margin of
+the latter (0.06 in similarity) are compared exactly where they lie, and of the
+links one is written for every two groups that it joins. So no link is lost to
+the choice of the nearest, and no pairs are written. A large family is dealt out
+in slices, every two of which meet.
 
 Of a component one row stays: that with the least id (rows without one come
 last), then the least text hash. Rows are told apart by id and text, so
@@ -36,6 +38,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,8 @@ from opfold.llm.common import LOWER_AND_SPACES, written
 from opfold.llm.simhash import COUNTED, components, keys_of, large_buckets, shingle_hashes, sliced
 
 WORDS, SIMILARITY, LANES, KEYED, NEAREST, FIRST, LONG = 5, 0.8, 4, 3, 8, 2, 16
-#: Members of a bucket in the copies' search beyond which it is dealt out in slices, and up to which it is judged together with others.
-SLICE_ROWS, FEW = 1 << 14, 48
+#: Members of a bucket in the copies' search beyond which it (or a family, or one of so many shingles) is dealt out in slices, and up to which it is judged together with others.
+SLICE_ROWS, SLICE_ITEMS, FEW = 1 << 14, 8 << 20, 48
 SKETCH = [f"s{k}" for k in range(LANES)]
 HASHES_AT_ONCE = 1 << 15
 
@@ -164,20 +167,24 @@ def forest_in(keys: np.ndarray, rows: np.ndarray, most: int, more: np.ndarray, c
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def pairs_apart(keys: np.ndarray, groups: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All candidates (x, y), of buckets in key order, whose groups differ."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(keys)))
-    mixed = np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts) if len(keys) else np.zeros(0, bool)
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, n in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
-        _, of = np.unique(groups[s : s + n], return_inverse=True)
-        # within the largest group there is nothing to find
-        for block, apart in blocks_of(rows[s : s + n], np.flatnonzero(of != np.bincount(of).argmax())):
-            x, y = np.nonzero((apart <= most) & (of[block][:, None] != of[None, :]))
-            xs.append(s + block[x])
-            ys.append(s + y)
-    return np.concatenate(xs), np.concatenate(ys)
+def joins_in(ids: np.ndarray, groups: np.ndarray, rows: np.ndarray, sets: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of that similarity that join all groups which any do; only candidates by their sketches are compared."""
+    _, of = np.unique(groups, return_inverse=True)
+    sizes, links = np.array([len(x) for x in sets]), []
+    # within the largest group there is nothing to find
+    for block, apart in blocks_of(rows, np.flatnonzero(of != np.bincount(of).argmax())):
+        for x, bits in zip(block.tolist(), apart, strict=True):
+            y = np.flatnonzero((bits <= most) & (of != of[x]) & (sizes > 0))
+            if not len(y) or not sizes[x]:
+                continue
+            flat, own = np.concatenate(sets[y]), sets[x]
+            there = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[y])[:-1]]), dtype=np.int64)
+            for z in y[both >= similarity * (sizes[x] + sizes[y] - both) - 1e-9].tolist():
+                if of[z] != of[x]:
+                    links.append((int(ids[x]), int(ids[z])))
+                    of[of == of[z]] = of[x]
+    return links
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[list[np.ndarray]]:
@@ -247,24 +254,31 @@ def candidates(distinct: DataFrame, most: int, large: dict[str, dict[int, int]])
     return by_lanes(lambda lane: keyed(distinct, lane, large[SKETCH[lane]], ["id", *SKETCH]).mapInArrow(run, "a long, b long, bits long"), "candidates", distinct.sparkSession)
 
 
-def candidates_apart(rows: DataFrame, most: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """All candidates (a, b) of different groups within a family, among rows (id, family, group, long), by their long sketches."""
-    spark = rows.sparkSession
-    large = rows.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows).select("family", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
+def links_apart(rows: DataFrame, most: int, similarity: float, slice_rows: int = SLICE_ROWS, slice_items: int = SLICE_ITEMS) -> DataFrame:
+    """Links (a, b) that join groups within a family, among rows (id, family, group, long, shingles)."""
+    slices = F.ceil(F.greatest(F.count("*") / slice_rows, F.sum(F.size("shingles")) / slice_items)).cast("int")
+    large = rows.groupBy("family").agg(slices.alias("slices")).filter("slices > 1")
     dealt = rows.join(large, "family", "left")
     own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
     # a row goes wherever its slice meets another; two slices are one cell anyway
     others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: k != own)
     cells = F.when(F.col("slices") > 2, F.transform(others, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-    moved = dealt.withColumn("cell", F.explode(cells))
-    moved = moved.select(F.xxhash64("family", "cell").alias("key"), "id", "group", "long")
+    moved = dealt.withColumn("cell", F.explode(cells)).select(F.xxhash64("family", "cell").alias("key"), "id", "group", "long", "shingles")
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        sets = np.empty(batch.num_rows, object)
+        for k, x in enumerate(batch.column(4)):
+            sets[k] = x.values.to_numpy()
+        return [*(batch.column(k).to_numpy() for k in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LONG), sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, groups, sketches_ in whole_buckets(batches, lambda b: [*(b.column(k).to_numpy() for k in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, LONG)]):
-            x, y = pairs_apart(keys, groups, sketches_, most)
-            yield pairs_of(ids, x, y, np.zeros(len(x), np.int64)).select(["a", "b"])
+        for keys, ids, groups, sketches_, sets in whole_buckets(batches, arrays):
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist() if len(keys) else []
+            for s, e in pairwise(edges):
+                links = joins_in(ids[s:e], groups[s:e], sketches_[s:e], sets[s:e], most, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
-    return written(moved.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "apart")
+    return moved.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def long_sketch(shingles: np.ndarray) -> bytes:
@@ -288,7 +302,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = pc.cast(part.column(1), pa.binary())
                 sets = [np.unique(np.array([h for hashes in shingle_hashes(t.as_py() or b"", words) for h in hashes], np.uint64)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32())), pa.array([long_sketch(x) for x in sets], pa.binary())], names=["id", "shingles", "long"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(x.astype(np.uint32).view(np.int32)) for x in sets], pa.list_(pa.int32())), pa.array([long_sketch(x) for x in sets], pa.binary())], names=["id", "shingles", "long"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").cast("string").alias("text"))
     found = own.join(nodes, F.col("__id").eqNullSafe(nodes.doc_id) & (F.col("__hash") == nodes.text_hash))
@@ -320,14 +334,16 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     groups = components(sure)
     grouped = written(linked.join(groups, linked.id == groups.node, "left").select("id", F.coalesce("root", "id").alias("group")), "groups")
     of_a, of_b = (grouped.select(F.col("id").alias(c), F.col("group").alias(f"of_{c}")) for c in "ab")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").filter("of_a != of_b").select("a", "b")
     families = components(forest).select(F.col("node").alias("id"), F.col("root").alias("family"))
     open_rows = grouped.join(more, "id", "left_semi").join(families, "id")
     mixed = open_rows.groupBy("family").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("family")
-    open_rows = written(open_rows.join(mixed, "family", "left_semi").join(sets.select("id", "long"), "id"), "open")
-    apart = candidates_apart(open_rows, margin(similarity, LONG)).join(pairs, ["a", "b"], "left_anti")
-    joined = written(verified(written(rest.union(apart), "rest"), sets, similarity), "more")
-    roots = written(components(sure.unionByName(joined)), "roots")
+    open_rows = written(open_rows.join(mixed, "family", "left_semi").join(sets, "id"), "open")
+    # pairs within a family are compared there
+    family_a, family_b = (open_rows.select(F.col("id").alias(c), F.col("family").alias(f"family_{c}")) for c in "ab")
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").filter("of_a != of_b")
+    rest = rest.join(family_a, "a", "left").join(family_b, "b", "left").filter(~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
+    joined = verified(written(rest, "rest"), sets, similarity).union(links_apart(open_rows, margin(similarity, LONG), similarity))
+    roots = written(components(written(sure.unionByName(joined), "links")), "roots")
     # only what links has a root: a row each of the linked sketches meets them, the rest is its own component
     named = written(linked.join(roots, linked.id == roots.node).select(*SKETCH, "least", "root"), "named")
     kept = named.groupBy("root").agg(F.min("least").alias("kept"))

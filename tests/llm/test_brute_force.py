@@ -502,14 +502,29 @@ def test_components_of_a_chained_family(spark):
 
 
 def test_families_in_slices_give_what_whole_ones_give(spark):
+    """Groups joined by exact links, however a family is dealt out; a row without shingles links to nothing."""
     rng = np.random.default_rng(9)
-    center = rng.bytes(128)
-    flips = [bytes(x ^ y for x, y in zip(center, np.packbits(rng.random(1024) < 0.08).tobytes(), strict=True)) for _ in range(60)]
-    rows = spark.createDataFrame([(k, k // 40, k % 7, bytearray(f)) for k, f in enumerate(flips)], "id long, family long, group long, long binary")
-    whole, two, many = ({(r.a, r.b) for r in copies.candidates_apart(rows, 160, n).collect()} for n in (1000, 20, 7))
-    bits = [np.frombuffer(f, np.uint8) for f in flips]
-    want = {(i, j) for i, j in combinations(range(60), 2) if i // 40 == j // 40 and i % 7 != j % 7 and np.bitwise_count(bits[i] ^ bits[j]).sum() <= 160}
-    assert whole == two == many == want and len(want) > 100
+    sets = [np.unique(np.concatenate([np.arange(100)[rng.random(100) > 0.1], 1000 + 50 * k + np.arange(rng.integers(0, 14))])).astype(np.int32) for k in range(60)] + [np.zeros(0, np.int32)]
+    rows = spark.createDataFrame([(k, k // 40, k % 30, bytearray(copies.long_sketch(x.astype(np.uint64))), x.tolist()) for k, x in enumerate(sets)], "id long, family long, group long, long binary, shingles array<int>")
+
+    def joined(links):
+        parent = {g: g for g in range(30)}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in links:
+            a, b = sorted((find(i % 30), find(j % 30)))
+            parent[b] = a
+        return [find(g) for g in range(30)]
+
+    want = [(i, j) for i, j in combinations(range(60), 2) if i // 40 == j // 40 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    for n in (1000, 20, 7):
+        got = [(r.a, r.b) for r in copies.links_apart(rows, 1024, 0.8, n).collect()]
+        assert set(got) <= set(want) and joined(got) == joined(want)
+    assert 1 < len(set(joined(want))) < 25
 
 
 def test_sketch_of_few_words():
