@@ -10,7 +10,9 @@ MOST = 0xFFFF
 
 
 def encode(physical: Column, logical: Column) -> Column:
-    return F.concat(F.format_string("%016x", physical.cast("long")), F.lit("-"), F.format_string("%04x", logical.cast("long")))
+    """A counter beyond ``MOST`` goes over into the milliseconds."""
+    n = logical.cast("long")
+    return F.concat(F.format_string("%016x", physical.cast("long") + F.shiftright(n, 16)), F.lit("-"), F.format_string("%04x", n % (MOST + 1)))
 
 
 def physical_of(hlc: Column) -> Column:

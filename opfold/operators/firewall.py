@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opfold.functions.network import cidr_high, cidr_low, ipv4, ipv4_class, is_loopback
+from opfold.functions.network import address_class, cidr6, cidr_high, cidr_low, ipv4, ipv6, loopback
 
 #: Rules and ranges up to this many rows go along with the requests; more are joined by prefix buckets.
 SMALL = 10_000
 
 
 def judge_rules(rules: DataFrame, has_geo: bool, has_regions: bool) -> DataFrame:
-    """The active rules with parsed bounds and the reason why a rule is left out (null: it counts)."""
+    """The active rules with parsed bounds and the reason why a rule is left out (null: it counts).
+
+    Bounds are numbers (lo, hi) for IPv4 and digits (lo6, hi6) for IPv6; a rule
+    of one family matches no address of the other.
+    """
     value = F.regexp_replace("value", r"^\s+|\s+$", "")
     kind = F.col("match_type")
     parsed = rules.filter("active").withColumn("value", F.when(kind.isin("country", "region"), F.upper(value)).otherwise(value))
     lo = F.when(kind == "ip", ipv4(F.col("value"))).when(kind == "cidr", cidr_low(F.col("value")))
     hi = F.when(kind == "ip", ipv4(F.col("value"))).when(kind == "cidr", cidr_high(F.col("value")))
+    low6, high6 = cidr6(F.col("value"))
+    lo6, hi6 = (F.when(kind == "ip", ipv6(F.col("value"))).when(kind == "cidr", x) for x in (low6, high6))
     reason = (
-        F.when((kind == "ip") & lo.isNull(), "bad ip")
-        .when((kind == "cidr") & lo.isNull(), "bad cidr")
+        F.when((kind == "ip") & lo.isNull() & lo6.isNull(), "bad ip")
+        .when((kind == "cidr") & lo.isNull() & lo6.isNull(), "bad cidr")
         .when(kind.isin("country", "region") & ~F.lit(has_geo), "no geo data")
         .when((kind == "region") & ~F.lit(has_regions), "no region data")
         .when(~kind.isin("ip", "cidr", "country", "region"), "unknown match type")
     )
-    return parsed.withColumn("lo", lo).withColumn("hi", hi).withColumn("reason", reason)
+    return parsed.withColumns({"lo": lo, "hi": hi, "lo6": lo6, "hi6": hi6, "reason": reason})
 
 
 def compiled(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.col("reason").isNull()).select("action", "scope", "match_type", "value", "lo", "hi")
+    return judged.filter(F.col("reason").isNull()).select("action", "scope", "match_type", "value", "lo", "hi", "lo6", "hi6")
 
 
 def warnings(judged: DataFrame) -> DataFrame:
@@ -39,44 +45,57 @@ def warnings(judged: DataFrame) -> DataFrame:
 def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Addresses (column ip) with the smallest range that holds each.
 
-    A table of at most ``SMALL`` ranges is broadcast and compared directly; a
-    larger one is joined on /16 buckets. Each distinct address is looked up once.
+    ranges: lo, hi (numbers, IPv4) and, where there are any of IPv6, lo6, hi6
+    (digits). A table of at most ``SMALL`` ranges is broadcast and compared
+    directly; a larger one is joined on the first 16 bits. Each distinct
+    address is looked up once.
     """
-    n = addresses.withColumn("__n", ipv4(F.col("ip")))
     fields = ("country", "region", "city", "lat", "lon")
+    both = "lo6" in ranges.columns
+    r = ranges if both else ranges.withColumns({"lo6": F.lit(None).cast("string"), "hi6": F.lit(None).cast("string")})
+    n = addresses.select("ip").distinct().withColumns({"__n": ipv4(F.col("ip")), "__h": ipv6(F.col("ip")) if both else F.lit(None).cast("string")})
+    inside = F.col("__n").between(F.col("lo"), F.col("hi")) | F.col("__h").between(F.col("lo6"), F.col("hi6"))
     if ranges.limit(SMALL + 1).count() <= SMALL:
-        r = F.broadcast(ranges)
-        hit = n.select("ip", "__n").distinct().join(r, F.col("__n").between(F.col("lo"), F.col("hi")))
+        hit = n.join(F.broadcast(r), inside)
     else:
-        cut = ranges.withColumn("__b", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-        hit = n.select("ip", "__n", F.shiftright("__n", 16).alias("__b")).distinct().join(cut, "__b").filter(F.col("__n").between(F.col("lo"), F.col("hi")))
-    best = hit.groupBy("ip").agg(F.min_by(F.struct(*fields), F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo")).alias("g"))
+
+        def top(digits):
+            return F.conv(F.substring(digits, 1, 4), 16, 10).cast("long") + F.lit(1 << 16)  # beyond those of IPv4
+
+        cut = r.withColumn("__b", F.explode(F.when(F.col("lo").isNotNull(), F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).otherwise(F.sequence(top(F.col("lo6")), top(F.col("hi6"))))))
+        hit = n.withColumn("__b", F.coalesce(F.shiftright("__n", 16), top(F.col("__h")))).join(cut, "__b").filter(inside)
+
+    def part(digits, first):
+        return F.conv(F.substring(digits, first, 16), 16, 10).cast("decimal(20,0)")
+
+    width = F.struct((F.col("hi") - F.col("lo")).alias("w"), (part(F.col("hi6"), 1) - part(F.col("lo6"), 1)).alias("w1"), (part(F.col("hi6"), 17) - part(F.col("lo6"), 17)).alias("w2"), "lo", "lo6")
+    best = hit.groupBy("ip").agg(F.min_by(F.struct(*fields), width).alias("g"))
     return addresses.join(best, "ip", "left").select(*addresses.columns, *(F.col(f"g.{f}").alias(f) for f in fields))
 
 
-def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
+def decide(requests: DataFrame, rules: DataFrame, exempt_superusers: bool = True) -> DataFrame:
     """allowed and why, of each request (ip, scope, superuser, country, region).
 
-    Loopback passes, then superusers of the application; then a matching deny
-    rule blocks; a scope with allow rules blocks what none of them matches.
+    Loopback passes, then superusers of the application if they are exempt; then
+    a matching deny rule blocks; a scope with allow rules blocks what none of
+    them matches.
     """
-    n = ipv4(F.col("ip"))
-    keys = requests.select("ip", "scope", "country", "region").distinct().withColumn("__n", n)
+    keys = requests.select("ip", "scope", "country", "region").distinct().withColumns({"__n": ipv4(F.col("ip")), "__h": ipv6(F.col("ip")), "__self": loopback(F.col("ip"))})
     r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
     match = (F.col("scope") == F.col("r_scope")) & (
-        (F.col("r_match_type").isin("ip", "cidr") & F.col("__n").between(F.col("r_lo"), F.col("r_hi")))
+        (F.col("r_match_type").isin("ip", "cidr") & (F.col("__n").between(F.col("r_lo"), F.col("r_hi")) | F.col("__h").between(F.col("r_lo6"), F.col("r_hi6"))))
         | ((F.col("r_match_type") == "country") & (F.upper("country") == F.col("r_value")))
         | ((F.col("r_match_type") == "region") & (F.upper("region") == F.col("r_value")))
     )
     if rules.limit(SMALL + 1).count() <= SMALL:
         r = F.broadcast(r)
-    verdict = keys.join(r, match, "left").groupBy("ip", "scope", "country", "region").agg(F.coalesce(F.bool_or(F.col("r_action") == "deny"), F.lit(False)).alias("denied"), F.coalesce(F.bool_or(F.col("r_action") == "allow"), F.lit(False)).alias("listed"))
+    verdict = keys.join(r, match, "left").groupBy("ip", "scope", "country", "region").agg(F.any_value("__self").alias("__self"), F.coalesce(F.bool_or(F.col("r_action") == "deny"), F.lit(False)).alias("denied"), F.coalesce(F.bool_or(F.col("r_action") == "allow"), F.lit(False)).alias("listed"))
     white = rules.groupBy("scope").agg(F.bool_or(F.col("action") == "allow").alias("__white"))
     judged = verdict.join(F.broadcast(white), "scope", "left")
     out = requests.alias("q").join(judged.alias("v"), F.col("q.ip").eqNullSafe(F.col("v.ip")) & (F.col("q.scope") == F.col("v.scope")) & F.col("q.country").eqNullSafe(F.col("v.country")) & F.col("q.region").eqNullSafe(F.col("v.region")), "left")
     why = (
-        F.when(F.coalesce(is_loopback(ipv4(F.col("q.ip"))), F.lit(False)), "loopback")
-        .when(F.col("q.superuser") & (F.col("q.scope") == "app"), "superuser")
+        F.when(F.col("v.__self"), "loopback")
+        .when(F.lit(exempt_superusers) & F.col("q.superuser") & (F.col("q.scope") == "app"), "superuser")
         .when(F.col("v.denied"), "denied")
         .when(F.coalesce(F.col("v.__white"), F.lit(False)) & ~F.col("v.listed"), "not listed")
         .otherwise("open")
@@ -101,7 +120,7 @@ def scope_of(path):
 
 def enrich(clients: DataFrame, ranges: DataFrame) -> DataFrame:
     """Clients (ip) with geo_status: private stays, found becomes ok, the rest failed; each address is looked up once."""
-    own = locate(clients.withColumn("geo_status", ipv4_class(F.col("ip"))), ranges)
+    own = locate(clients.withColumn("geo_status", address_class(F.col("ip"))), ranges)
     public = F.col("geo_status") == ""
     status = F.when(~public, "private").when(F.col("country").isNotNull(), "ok").otherwise("failed")
     return own.withColumns({c: F.when(public, F.col(c)) for c in ("country", "region", "city", "lat", "lon")} | {"geo_status": status})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opfold.functions.clock import encode
 from opfold.functions.lww import stamp
 from opfold.schemas import RECORD_OPS, SCHEMA_OPS
 
@@ -79,19 +80,27 @@ def replicated(catalog: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     return catalog.filter(~F.col("is_view") & ~F.col("name").isin(*excluded) & ~F.col("id").isin(*excluded))
 
 
-def capture(changes: DataFrame, node: str, local_seq: int) -> DataFrame:
+def capture(changes: DataFrame, node: str, local_seq: int, block: int | Column = 1 << 16) -> DataFrame:
     """Operations for local changes (record_id, change_no, ms, deleted, fields struct): full row images, in order.
 
-    The clock's counter numbers the changes of one millisecond.
+    The clock ticks on from change to change and jumps to the wall (ms) when
+    that is ahead, so value i is the greatest of ``ms_j * 65536 + i - j`` over
+    all j up to i. Numbers and greatest values are found in blocks, of which
+    only one row each is put in order: so many change numbers, or a column that
+    never falls as they rise.
     """
-    seq = (F.lit(local_seq) + F.row_number().over(Window.partitionBy("col_id_all").orderBy("change_no"))).cast("long")
-    tick = F.row_number().over(Window.partitionBy("ms").orderBy("change_no")) - 1
-    from opfold.functions.clock import encode
-
-    return changes.withColumn("col_id_all", F.lit(node)).select(
+    own = changes.withColumn("__b", F.expr(f"change_no div {block}") if isinstance(block, int) else block)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    within = Window.partitionBy("__b").orderBy("change_no")
+    counts = own.groupBy("__b").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = own.join(offsets, "__b").withColumn("__i", F.col("__before") + F.row_number().over(within)).withColumn("__x", F.col("ms").cast("long") * 65536 - F.col("__i"))
+    tops = numbered.groupBy("__b").agg(F.max("__x").alias("__top")).select("__b", F.max("__top").over(earlier).alias("__reached"))
+    tick = F.col("__i") + F.greatest(F.max("__x").over(within.rowsBetween(Window.unboundedPreceding, 0)), "__reached")
+    return numbered.join(tops, "__b").select(
         F.lit(node).alias("src_node"),
-        seq.alias("src_seq"),
-        encode(F.col("ms"), tick).alias("hlc"),
+        (F.lit(local_seq) + F.col("__i")).cast("long").alias("src_seq"),
+        encode(F.shiftright(tick, 16), tick % 65536).alias("hlc"),
         F.when(F.col("deleted"), "delete").otherwise("upsert").alias("op_type"),
         "col_id",
         "record_id",

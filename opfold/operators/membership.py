@@ -12,9 +12,15 @@ def healthy(now: str, self_node: str, sync_interval: int) -> Column:
     return F.when(F.col("removed"), False).when(F.col("node_id") == self_node, True).otherwise(F.coalesce(seen, F.lit(False)))
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """A row a member, of several the last seen; of these one that is removed, then the greatest URL."""
+    fields = ("url", "reachable", "joined_at", "last_seen", "removed")
+    return rows.groupBy("node_id").agg(F.max_by(F.struct(*fields), F.struct("last_seen", "removed", "url", "joined_at")).alias("r")).select("node_id", *(f"r.{c}" for c in fields))
+
+
 def merge(members: DataFrame, gossip: DataFrame, self_node: str) -> DataFrame:
-    """Members after gossip: strictly newer rows win, on a tie only a removal does; joined_at stays, self is never told."""
-    g = gossip.filter(F.col("node_id") != self_node).select(F.col("node_id"), *(F.col(c).alias(f"g_{c}") for c in ("url", "reachable", "joined_at", "last_seen", "removed")))
+    """Members after gossip: strictly newer rows win, on a tie only a removal does; joined_at stays, self is never told. Of several senders' rows of a member the newest counts."""
+    g = newest(gossip.filter(F.col("node_id") != self_node)).select(F.col("node_id"), *(F.col(c).alias(f"g_{c}") for c in ("url", "reachable", "joined_at", "last_seen", "removed")))
     both = members.join(g, "node_id", "full_outer")
     take = F.col("last_seen").isNull() | (F.col("g_last_seen") > F.col("last_seen")) | ((F.col("g_last_seen") == F.col("last_seen")) & F.col("g_removed") & ~F.col("removed"))
     take = F.coalesce(take & F.col("g_last_seen").isNotNull(), F.lit(False))
@@ -23,7 +29,7 @@ def merge(members: DataFrame, gossip: DataFrame, self_node: str) -> DataFrame:
 
 def upsert(members: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows put over members; a member's joined_at stays."""
-    r = rows.select("node_id", *(F.col(c).alias(f"r_{c}") for c in ("url", "reachable", "joined_at", "last_seen", "removed")))
+    r = newest(rows).select("node_id", *(F.col(c).alias(f"r_{c}") for c in ("url", "reachable", "joined_at", "last_seen", "removed")))
     both = members.join(r, "node_id", "full_outer")
     return both.select("node_id", *(F.coalesce(f"r_{c}", c).alias(c) for c in ("url", "reachable")), F.coalesce("joined_at", "r_joined_at").alias("joined_at"), *(F.coalesce(f"r_{c}", c).alias(c) for c in ("last_seen", "removed")))
 

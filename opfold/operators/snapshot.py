@@ -29,10 +29,16 @@ def merge(local: DataFrame, snapshot: DataFrame, self_node: str) -> DataFrame:
 
 
 def reconcile(local: DataFrame, seen: DataFrame, versions: DataFrame, horizon_hlc: str) -> DataFrame:
-    """Local records to delete: absent on the peer, and without a version at or after the horizon."""
-    v = versions.select("record_id", F.col("hlc").alias("__h"))
-    gone = local.join(seen.select("record_id").distinct(), "record_id", "left_anti").join(v, "record_id", "left")
-    return gone.filter(F.col("__h").isNull() | (F.col("__h") < horizon_hlc) if horizon_hlc else F.lit(True)).select("record_id", F.lit("snapshot-reconcile").alias("src_node"))
+    """Local records to delete: absent on the peer, and without a version at or after the horizon.
+
+    Records are known by collection and id; without ``col_id`` in ``local`` all
+    rows are of one collection. Rows repeated in ``seen`` or ``versions`` count
+    once (the latest version).
+    """
+    key = [c for c in RECORD if c in local.columns]
+    v = versions.groupBy(*key).agg(F.max("hlc").alias("__h"))
+    gone = local.join(seen.select(*key).distinct(), key, "left_anti").join(v, key, "left")
+    return gone.filter(F.col("__h").isNull() | (F.col("__h") < horizon_hlc) if horizon_hlc else F.lit(True)).select(*key, F.lit("snapshot-reconcile").alias("src_node"))
 
 
 def unacknowledged(ops: DataFrame, self_node: str, acked: int) -> DataFrame:

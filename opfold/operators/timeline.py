@@ -18,6 +18,14 @@ def by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.max("time").alias("last_time"))
 
 
+nothing = object()
+
+
+def same(a, b) -> bool:
+    """Equal keys; null is a key like any other."""
+    return a is b or (b is not nothing and (a == b or (pd.isna(a) and pd.isna(b))))
+
+
 def throttle(events: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     """Events at least a gap after the last accepted one of their key; refused ones move nothing.
 
@@ -29,11 +37,11 @@ def throttle(events: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     gap = pd.Timedelta(seconds=gap_seconds)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, last = None, None
+        here, last = nothing, None
         for part in parts:
             keep = []
             for k, t in zip(part[key], part["time"], strict=True):
-                if k != here:
+                if not same(k, here):
                     here, last = k, None
                 ok = last is None or t - last >= gap
                 if ok:
@@ -53,11 +61,11 @@ def debounce(events: DataFrame, key: str, window_seconds: float) -> DataFrame:
     gap = pd.Timedelta(seconds=window_seconds)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, opened, n = None, None, 0
+        here, opened, n = nothing, None, 0
         for part in parts:
             out = []
             for k, t in zip(part[key], part["time"], strict=True):
-                if k != here or t - opened >= gap:
+                if not same(k, here) or t - opened >= gap:
                     if n:
                         out.append((here, opened, n))
                     here, opened, n = k, t, 0

@@ -30,7 +30,27 @@ def judged(spark):
 
 @query("rule_compile", f"WITH {RULES} SELECT action, scope, kind AS match_type, value, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM rule")
 def rule_compile(spark, d):
-    return firewall.compiled(judged(spark))
+    return firewall.compiled(judged(spark)).select("action", "scope", "match_type", "value", "lo", "hi")
+
+
+#: Every client as an address of both families: the customer's number in an IPv6 network, or the same in an IPv4 one.
+TWO_FAMILIES = """f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN printf('2001:db8:%x::%x', c_custkey // 256, c_custkey % 256) WHEN c_custkey % 3 = 1 THEN printf('::ffff:10.0.%d.%d', (c_custkey // 256) % 256, c_custkey % 256) WHEN c_custkey % 15 = 2 THEN '::1' ELSE printf('20.0.%d.%d', (c_custkey // 256) % 256, c_custkey % 256) END AS ip FROM customer)"""
+
+
+@query("firewall_two_families", f"WITH {TWO_FAMILIES} SELECT c_custkey, ip, CASE WHEN ip = '::1' THEN 'loopback' WHEN c_custkey % 3 = 0 AND c_custkey // 256 = 1 THEN 'denied' WHEN c_custkey % 3 = 0 AND c_custkey % 256 < 128 OR c_custkey % 3 = 1 THEN 'open' ELSE 'not listed' END AS why FROM f")
+def firewall_two_families(spark, d):
+    key = F.col("c_custkey")
+    ip = (
+        F.when(key % 3 == 0, F.format_string("2001:db8:%x::%x", F.floor(key / 256), key % 256))
+        .when(key % 3 == 1, F.format_string("::ffff:10.0.%d.%d", F.floor(key / 256) % 256, key % 256))
+        .when(key % 15 == 2, "::1")
+        .otherwise(F.format_string("20.0.%d.%d", F.floor(key / 256) % 256, key % 256))
+    )
+    q = tables.table(spark, d, "customer").select("c_custkey", ip.alias("ip"), F.lit("app").alias("scope"), F.lit(False).alias("superuser"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("region"))
+    networks = tables.table(spark, d, "customer").select(F.floor(key / 256).alias("n")).distinct().select(F.lit("allow").alias("action"), F.lit("app").alias("scope"), F.lit("cidr").alias("match_type"), F.format_string("2001:DB8:%x:0::0/121", "n").alias("value"), F.lit(True).alias("active"))
+    more = spark.createDataFrame([("deny", "app", "cidr", "2001:db8:1::/48", True), ("allow", "app", "ip", "10.0.0.1.2", True), ("allow", "app", "cidr", "10.0.0.0/8", True), ("deny", "app", "ip", "::1", True)], networks.schema)
+    decided_ = firewall.decide(q, firewall.compiled(firewall.judge_rules(networks.union(more), False, False)))
+    return decided_.select("c_custkey", "ip", "why")
 
 
 @query("rule_warnings", "SELECT * FROM (VALUES ('bad ip', 1::BIGINT), ('bad cidr', 1), ('no region data', 1), ('unknown match type', 1)) AS t(reason, rules)")

@@ -260,7 +260,7 @@ def capture_ops(spark, d):
     o = table(spark, d, "orders")
     ms = tables.day_ms(F.col("o_orderdate")) + (F.hour("o_orderdate") * 3600 + F.minute("o_orderdate") * 60).cast("long") * 1000 + (F.second("o_orderdate") * 1000).cast("long")
     changes = o.select(F.lit("orders").alias("col_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.struct("o_orderdate", "o_orderkey").alias("change_no"), ms.alias("ms"), (F.col("o_orderstatus") == "F").alias("deleted"), F.struct("o_orderkey", "o_totalprice").alias("fields"))
-    return fold.capture(changes, "me", 100).drop("payload")
+    return fold.capture(changes, "me", 100, F.expr("ms div 86400000")).drop("payload")
 
 
 @query(
@@ -360,6 +360,20 @@ def snapshot_merge(spark, d):
     return snapshot.merge(half_state(spark, d, 0), half_state(spark, d, 1), "node02").select("col_id", "record_id", "op_type", "payload", "hlc", "src_node")
 
 
+@query(
+    "reconcile_collections",
+    """SELECT c AS col_id, CAST(doc_id AS VARCHAR) AS record_id, 'snapshot-reconcile' AS src_node FROM documents, (VALUES ('a'), ('b')) AS t(c)
+    WHERE NOT (c = 'a' AND doc_id % 2 = 0) AND NOT (c = 'b' AND doc_id % 3 = 0)""",
+)
+def reconcile_collections(spark, d):
+    """Two collections with the same ids: the peer lacks a's odd ones; of b only every third has a fresh version."""
+    ids = tables.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("record_id"))
+    both = ids.withColumn("col_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    seen = both.filter("col_id = 'a' and doc_id % 2 = 0")
+    versions = both.filter("col_id = 'b' and doc_id % 3 = 0").withColumn("hlc", F.lit(f"{2000:016x}"))
+    return snapshot.reconcile(both.select("col_id", "record_id"), seen, versions, f"{1500:016x}")
+
+
 @query("reconcile_deletes", "SELECT CAST(doc_id AS VARCHAR) AS record_id, 'snapshot-reconcile' AS src_node FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND (doc_id % 17 = 0 OR printf('%016x', 1000 + doc_id) < printf('%016x', 1500))")
 def reconcile_deletes(spark, d):
     local = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "doc_id")

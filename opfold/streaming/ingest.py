@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opfold.functions.lww import stamp
-from opfold.operators.fold import RECORD, winners
+from opfold.operators.fold import winners
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -21,15 +20,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='opfold-')).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def lww_state(ops: DataFrame) -> DataFrame:
-    """Current winners of a stream of operations (update mode emits the keys that changed)."""
-    w = F.max_by(F.struct("op_type", "payload", "hlc", "src_node"), stamp())
-    return ops.groupBy(*RECORD).agg(w.alias("w")).select(*RECORD, "w.op_type", "w.payload", "w.hlc", "w.src_node")
-
-
 def counters(ops: DataFrame) -> DataFrame:
     return ops.groupBy("src_node").agg(F.count("*").alias("ops"), F.max("src_seq").alias("seq"))
 

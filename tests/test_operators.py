@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opfold.functions import clock
+from opfold.functions import clock, network
 from opfold.functions.lww import supersedes
 from opfold.operators import compaction, firewall, fold, integrity, log, membership, migrations, snapshot, telemetry, timeline
 from opfold.schemas import Config
@@ -166,6 +166,70 @@ def test_replayed_batch_overwrites_its_own_version(spark, tmp_path):
     assert state.at(0).count() == 1
 
 
+def test_addresses_of_six(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "1::", "2001:db8::5", "2001:DB8:0:0:0:0:0:5", "::ffff:1.2.3.4", "64:ff9b::1.2.3.4", "fe80::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", ":1", "1:", ":::", "1::2::3", "12345::", "g::", "::1x", "1.2.3.4", "", "::1.2.3.400", "fc00::1", "1:2:3:4:5:6:7:1.2.3.4"]
+
+    def want(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return None if a.version == 4 or a.ipv4_mapped else f"{int(a):032x}"
+
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+    assert {r.ip: r.h for r in df.select("ip", network.ipv6(F.col("ip")).alias("h")).collect()} == {t: want(t) for t in texts}
+    nets = ["2001:db8::/32", "2001:db8::ff/121", "::/0", "1:2:3:4:5:6:7:8/128", "fe80::/10", "2001:db8::/129", "2001:db8::", "x/3", "2001:db8::/"]
+    got = {r.n: (r.a, r.b) for r in spark.createDataFrame([(n,) for n in nets], "n string").select("n", *(c.alias(x) for c, x in zip(network.cidr6(F.col("n")), "ab", strict=True))).collect()}
+    for n in nets[:5]:
+        net = ipaddress.ip_network(n, strict=False)
+        assert got[n] == (f"{int(net[0]):032x}", f"{int(net[-1]):032x}"), n
+    assert all(got[n] == (None, None) for n in nets[5:])
+
+
+def test_ranges_and_rules_of_both_families(spark, monkeypatch):
+    ranges = spark.createDataFrame([(1 << 24, (2 << 24) - 1, None, None, "A"), (None, None, "2001" + "0" * 28, "2001" + "f" * 28, "B"), (None, None, "20010db8" + "0" * 24, "20010db8" + "f" * 24, "C")], "lo long, hi long, lo6 string, hi6 string, country string").selectExpr("*", "'' region", "'' city", "0d lat", "0d lon")
+    ips = spark.createDataFrame([("1.2.3.4",), ("2001:db8::9",), ("2001:db9::9",), ("3000::",), ("::1",), ("no",)], "ip string")
+    want = {"1.2.3.4": ("ok", "A"), "2001:db8::9": ("ok", "C"), "2001:db9::9": ("ok", "B"), "3000::": ("failed", None), "::1": ("private", None), "no": ("private", None)}
+    for small in (10_000, 1):
+        monkeypatch.setattr(firewall, "SMALL", small)
+        assert {r.ip: (r.geo_status, r.country) for r in firewall.enrich(ips, ranges).collect()} == want
+    requests = ips.selectExpr("ip", "'app' scope", "ip = '3000::' superuser", "cast(null as string) country", "cast(null as string) region")
+    rules = firewall.compiled(firewall.judge_rules(spark.createDataFrame([("allow", "app", "cidr", "2001:db8::/32", True), ("deny", "app", "ip", "::1", True)], "action string, scope string, match_type string, value string, active boolean"), False, False))
+    why = {r.ip: r.why for r in firewall.decide(requests, rules).collect()}
+    assert why == {"1.2.3.4": "not listed", "2001:db8::9": "open", "2001:db9::9": "not listed", "3000::": "superuser", "::1": "loopback", "no": "not listed"}
+    assert {r.why for r in firewall.decide(requests, rules, exempt_superusers=False).filter("superuser").collect()} == {"not listed"}
+
+
+def test_clock_carries_and_capture_goes_on(spark):
+    """70 000 changes in one millisecond, then some in the next and one before the wall: values rise strictly."""
+    changes = spark.range(70_010).selectExpr("id AS change_no", "if(id < 70000, 5, if(id < 70009, 6, 3)) AS ms", "false AS deleted", "'c' AS col_id", "cast(id AS string) AS record_id", "named_struct('x', id) AS fields")
+    whole = [r.hlc for r in fold.capture(changes, "me", 100).orderBy("src_seq").collect()]
+    assert whole[0] == f"{5:016x}-0000" and whole[65_536] == f"{6:016x}-0000" and all(a < b and len(b) == 21 for a, b in zip(whole, whole[1:], strict=False))
+    parts = [(r.src_seq, r.hlc) for r in fold.capture(changes, "me", 100, block=1000).orderBy("src_seq").collect()]
+    assert parts == list(enumerate(whole, 101))
+
+
+def test_null_keys_and_repeated_gossip(spark):
+    rows = [(None, 0, "2024-01-01 00:00:00"), (None, 1, "2024-01-01 00:00:03"), ("k", 2, "2024-01-01 00:00:04"), (None, 3, "2024-01-01 00:00:20")]
+    df = spark.createDataFrame(rows, "key string, seq int, time string").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    assert sorted((r.key or "", r.wakes) for r in timeline.debounce(df, "key", 10).collect()) == [("", 1), ("", 2), ("k", 1)]
+    assert sorted(r.seq for r in timeline.throttle(df, "key", 10).collect()) == [0, 2, 3]
+    assert timeline.debounce(df.limit(0), "key", 10).count() == 0
+    schema = "node_id string, url string, reachable boolean, joined_at string, last_seen string, removed boolean"
+    have = spark.createDataFrame([("a", "u", True, "1", "5", False)], schema)
+    told = spark.createDataFrame([("a", "v", True, "2", "6", False), ("a", "w", True, "2", "7", False), ("a", "w", True, "2", "7", True), ("n", "x", True, "2", None, False), ("n", "y", True, "2", "1", False)], schema)
+    for found in (membership.merge(have, told, "me"), membership.upsert(have, told)):
+        assert sorted((r.node_id, r.url, r.removed) for r in found.collect()) == [("a", "w", True), ("n", "y", False)]
+
+
+def test_reconcile_by_collection(spark):
+    local = spark.createDataFrame([("a", "1"), ("b", "1")], "col_id string, record_id string")
+    versions = spark.createDataFrame([("b", "1", hlc(3000)), ("b", "1", hlc(1000))], "col_id string, record_id string, hlc string")
+    assert [(r.col_id, r.record_id) for r in snapshot.reconcile(local, local.limit(0), versions, hlc(2000)).collect()] == [("a", "1")]
+
+
 def test_config():
     c = Config()
     assert c.page(None) == 500 and c.page(0) == 500 and c.page(9999) == 500 and c.page(3) == 3
