@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from opfold.llm.common import LOWER_AND_SPACES, written
 from opfold.llm.simhash import COUNTED, components, keys_of, large_buckets, shingle_hashes, sliced
 
-WORDS, SIMILARITY, LANES, KEYED, NEAREST, FIRST, LONG = 5, 0.8, 4, 3, 8, 2, 16
+WORDS, SIMILARITY, LANES, KEYED, NEAREST, FIRST, LONG = 5, 0.8, 4, 3, 2, 2, 16
 #: Members of a bucket in the copies' search beyond which it (or a family, or one of so many shingles) is dealt out in slices, and up to which it is judged together with others.
 SLICE_ROWS, SLICE_ITEMS, FEW = 1 << 14, 8 << 20, 48
 SKETCH = [f"s{k}" for k in range(LANES)]
