@@ -562,3 +562,18 @@ def test_pipeline(spark, sf_dir):
             assert after.columns == docs.columns
         docs, want = after, kept
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
+
+
+def test_near_dedup_stage_is_exact_on_the_documents(spark, sf_dir):
+    """Every document that goes links by a similarity of 0.8 or more to one of its component; nearly all components are found whole."""
+    import corpus_pipeline
+    from opfold.llm.common import read
+
+    docs = read(spark, sf_dir, "documents")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids, sets = sorted(rows), {i: shingles(t) for i, t in rows.items()}
+    near = [(i, j) for i, j in combinations(ids, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf_dir).select("doc_id").collect()}
+    gone = set(ids) - kept
+    assert gone <= {x for pair in near for x in pair}
+    assert sum(i in gone or j in gone for i, j in near) >= 0.95 * len(near) > 0
