@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opfold.functions.clock import encode
 from opfold.functions.lww import stamp
+from opfold.operators.log import arrivals, running
 from opfold.schemas import RECORD_OPS, SCHEMA_OPS
 
 RECORD = ("col_id", "record_id")
@@ -39,8 +40,7 @@ def applied(ops: DataFrame) -> DataFrame:
 def segments(ops: DataFrame, by: str = "src_node") -> DataFrame:
     """Batches between schema operations: a schema operation ends one and begins the next."""
     is_schema = F.col("op_type").isin(*SCHEMA_OPS)
-    run = Window.partitionBy(by).orderBy("created", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("barrier", is_schema).withColumn("segment", F.sum(is_schema.cast("long")).over(run))
+    return running(ops.withColumn("barrier", is_schema), [by], arrivals(), ["created", "event_id"], is_schema.cast("long"), "segment")
 
 
 def poisoned(payload: Column) -> Column:
@@ -61,6 +61,39 @@ def schema_changes(ops: DataFrame) -> DataFrame:
     return own.withColumn("changes", ~F.col("content").eqNullSafe(F.lag("content").over(order)))
 
 
+def schema_effects(ops: DataFrame, catalog: DataFrame, versions: DataFrame) -> DataFrame:
+    """Schema operations with what each does as it arrives: ``change``, ``version`` (the content is there already) or ``none`` (something newer is).
+
+    catalog: id, name, content (JSON); the local side of a collection is found
+    by id, then name. versions: record_id, hlc, src_node. The content that an
+    operation meets is that of the newest before it, else the local one; the
+    payload is compared without white space around it.
+    """
+    own = resolve_collection(ops.filter(F.col("op_type").isin(*SCHEMA_OPS)), catalog)
+    local = catalog.select(F.col("id").alias("local_col_id"), canonical(F.col("content")).alias("__local"))
+    known = versions.groupBy("record_id").agg(F.max(stamp()).alias("__known"))
+    text = F.when(F.col("op_type") == "col_upsert", F.regexp_replace("payload", r"^\s+|\s+$", ""))
+    before = Window.partitionBy("record_id").orderBy("created", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = own.join(local, "local_col_id", "left").join(known, "record_id", "left").withColumns({"__text": text, "__new": F.col("__known").isNull() | (stamp() > F.col("__known"))})
+    held = F.max(F.when(F.col("__new"), F.struct(stamp().alias("at"), canonical(F.col("__text")).alias("content")))).over(before)
+    judged = met.withColumn("__held", held)
+    wins = F.col("__new") & (F.col("__held").isNull() | (stamp() > F.col("__held.at")))
+    same = F.col("__text") == F.when(F.col("__held").isNull(), F.col("__local")).otherwise(F.col("__held.content"))
+    effect = F.when(~wins, "none").when(F.coalesce(same, F.lit(False)), "version").otherwise("change")
+    return judged.select(*ops.columns, "local_col_id", effect.alias("effect"))
+
+
+def merge_fields(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Fields (collection, id, name, type, system) of imported schemas: a local field's id stays where name and type agree, local system fields are never lost.
+
+    Ids and names are unique in a collection on either side.
+    """
+    lost = existing.join(incoming.select("collection", "id"), ["collection", "id"], "left_anti")
+    old = lost.select("collection", "name", "type", F.col("id").alias("__id"))
+    taken = incoming.join(old, ["collection", "name", "type"], "left").select("collection", F.coalesce("__id", "id").alias("id"), "name", "type", "system")
+    return taken.unionByName(lost.filter("system").join(incoming.select("collection", "name", "type"), ["collection", "name", "type"], "left_anti").select("collection", "id", "name", "type", "system"))
+
+
 def resolve_collection(ops: DataFrame, catalog: DataFrame) -> DataFrame:
     """The local collection of every operation: by id, else by name; null if unknown."""
     by_id = catalog.select(F.col("id").alias("__i"), F.col("id").alias("__by_id"))
@@ -75,6 +108,27 @@ def parked(ops: DataFrame, catalog: DataFrame, most: int) -> DataFrame:
     return unknown.orderBy(F.desc("created"), F.desc("event_id")).limit(most)
 
 
+def retry_parked(waiting: DataFrame, catalog: DataFrame, schema_ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parked operations that can be applied, now that schema operations came, and those that go on waiting.
+
+    A collection whose newest schema operation is no deletion is known, under
+    its id and, where one is given, its name.
+    """
+    newest = live_schema(schema_ops).select(F.col("record_id").alias("id"), F.col("col_name").alias("name"))
+    known = catalog.select("id", "name").unionByName(newest.join(catalog.select("id"), "id", "left_anti")).dropDuplicates(["id"])
+    # a name may be carried by several collections: the least id
+    names = known.filter("name <> ''").groupBy(F.col("name").alias("__n")).agg(F.min("id").alias("__by_name"))
+    by_id = waiting.join(known.select(F.col("id").alias("__by_id")), F.col("col_id") == F.col("__by_id"), "left")
+    found = by_id.join(names, F.col("col_name") == F.col("__n"), "left").select(*waiting.columns, F.coalesce("__by_id", "__by_name").alias("local_col_id"))
+    return found.filter("local_col_id is not null"), found.filter("local_col_id is null").drop("local_col_id")
+
+
+def live_schema(ops: DataFrame) -> DataFrame:
+    """The newest schema operation of every collection that isn't deleted."""
+    own = ops.filter(F.col("op_type").isin(*SCHEMA_OPS))
+    return winners(own, ("record_id",), ("op_type", "col_name", "payload", "hlc", "src_node")).filter("op_type = 'col_upsert'")
+
+
 def replicated(catalog: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     """Collections that replicate: no views, not excluded by name or id."""
     return catalog.filter(~F.col("is_view") & ~F.col("name").isin(*excluded) & ~F.col("id").isin(*excluded))

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("src_node", "src_seq")
 
 
+def arrivals() -> Column:
+    """Arrivals in pieces (hours) that follow each other: no task has to put more than one in order."""
+    return F.unix_micros(F.date_trunc("hour", F.col("created").cast("timestamp")))
+
+
+def running(rows: DataFrame, by: list[str], block: Column, order: list[str], of: Column, name: str) -> DataFrame:
+    """The running sum of ``of`` (itself included) within ``by`` in that order, as ``name``; null groups are groups.
+
+    ``block`` never falls along the order. Blocks are summed first, and of a
+    group only these sums, a row a block, are put in order in one task; rows
+    are put in order within their block.
+    """
+    keys = [f"__g{i}" for i in range(len(by))]
+    own = rows.withColumns({"__b": block, "__of": of, **{k: F.col(c) for k, c in zip(keys, by, strict=True)}})
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*keys, "__b").agg(F.sum("__of").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).drop("__s").alias("s")
+    met = own.alias("o").join(sums, [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__b"]])
+    within = Window.partitionBy(*(F.col(f"o.{k}") for k in [*keys, "__b"])).orderBy(*(F.col(f"o.{c}") for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    total = (F.col("s.__before") + F.sum("o.__of").over(within)).cast("long")
+    return met.select(*(F.col(f"o.{c}") for c in rows.columns if c != name), total.alias(name))
+
+
 def admit(ops: DataFrame, self_node: str) -> DataFrame:
     """What may enter the log: named source, positive sequence, not our own echo."""
     return ops.filter((F.col("src_node") != "") & (F.col("src_seq") > 0) & (F.col("src_node") != self_node))
@@ -124,15 +146,42 @@ def push_pages(ops: DataFrame, cursors: DataFrame, batch: int) -> DataFrame:
 
     cursors: peer, created, event_id; a row for each peer of the cluster.
     """
-    c = F.broadcast(cursors.select("peer", F.struct("created", "event_id").alias("__at")))
-    due = ops.join(c, (F.struct("created", "event_id") > F.col("__at")) & (F.col("src_node") != F.col("peer")))
+    at = cursors.select("peer", F.struct("created", "event_id").alias("__at"), arrivals().alias("__from"))
+    blocks = ops.groupBy(arrivals().alias("__b"), "src_node").agg(F.count("*").alias("__n"))
+    met = blocks.join(F.broadcast(at), F.col("__b") >= F.col("__from"))
+    # what lies surely beyond the cursor: whole later blocks without the peer's own
+    sure = F.sum(F.when((F.col("__b") > F.col("__from")) & (F.col("src_node") != F.col("peer")), F.col("__n")).otherwise(0))
+    earlier = Window.partitionBy("peer").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    reached = met.groupBy("peer", "__b").agg(sure.alias("__sure"), F.first("__at").alias("__at")).withColumn("__before", F.coalesce(F.sum("__sure").over(earlier), F.lit(0)))
+    wanted = reached.filter(F.col("__before") < batch).select("peer", "__b", "__at")
+    due = ops.withColumn("__b", arrivals()).join(wanted, "__b").filter((F.struct("created", "event_id") > F.col("__at")) & (F.col("src_node") != F.col("peer")))
     order = Window.partitionBy("peer").orderBy("created", "event_id")
-    return due.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= batch).drop("__n", "__at")
+    return due.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= batch).drop("__n", "__at", "__b")
 
 
-def next_sequences(ops: DataFrame, local_seq: int, order: list[str]) -> DataFrame:
-    """New operations of this node with the sequence numbers that follow ``local_seq``."""
-    return ops.withColumn("src_seq", (F.lit(local_seq) + F.row_number().over(Window.partitionBy("src_node").orderBy(*order))).cast("long"))
+def pull_round(log: DataFrame, vector: DataFrame, peer_ops: DataFrame, peer_vector: DataFrame, horizon: DataFrame, limit: int, self_node: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One answered pull: the log and the vector after it, and whether a snapshot is needed.
+
+    The page goes into the log and the vector moves on over what is contiguous.
+    After a page that is not full, all of the peer's log has been seen, and its
+    vector is adopted too, which passes the holes that compaction left. If a
+    snapshot is needed the page is thrown away and nothing moves.
+    """
+    page, needed = page_after_vector(peer_ops, vector, horizon, limit)
+    flag = F.broadcast(needed)  # one row
+    after = append(log, page.join(flag, ~F.col("snapshot_required")).drop("snapshot_required"), self_node)
+    size = page.agg((F.count("*") < limit).alias("__short"))
+    moved = contiguous(after, vector).select("src_node", "seq")
+    told = adopt(moved, peer_vector, self_node).select("src_node", F.col("seq").alias("__told"))
+    kept = vector.select("src_node", F.col("seq").alias("__kept"))
+    both = told.join(moved, "src_node", "left").join(kept, "src_node", "left").join(flag).join(F.broadcast(size))  # two single rows
+    seq = F.when(F.col("snapshot_required"), F.col("__kept")).when(F.col("__short"), F.col("__told")).otherwise(F.col("seq"))
+    return after, both.select("src_node", seq.alias("seq")).filter("seq is not null"), needed
+
+
+def next_sequences(ops: DataFrame, local_seq: int, order: list[str], block: Column | None = None) -> DataFrame:
+    """New operations of each source with the sequence numbers that follow ``local_seq``; ``block`` (the hour of arrival unless given) never falls along the order."""
+    return running(ops, ["src_node"], arrivals() if block is None else block, order, F.lit(1), "__k").withColumn("src_seq", F.lit(local_seq) + F.col("__k")).drop("__k")
 
 
 def counts(ops: DataFrame) -> DataFrame:

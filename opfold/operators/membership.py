@@ -71,6 +71,26 @@ def error_slots(results: DataFrame) -> DataFrame:
     return marked.select("peer", "t", F.when(F.col("error").isNotNull() & F.col("__b").isNull(), "report").when(F.col("error").isNull() & F.col("__b").isNotNull(), "clear").alias("action")).filter("action is not null")
 
 
+def global_error(results: DataFrame) -> DataFrame:
+    """The error that a node shows (node, error; "" for none) after results (node, peer, t, error or null).
+
+    The first failure of a peer's run is shown in place of what was; the
+    peer's next success takes it back, if it is still the one shown.
+    """
+    before = F.lag("error").over(Window.partitionBy("node", "peer").orderBy("t"))
+    shown = results.withColumn("__b", before).filter(F.col("error").isNotNull() & F.col("__b").isNull())
+    last = shown.groupBy("node").agg(F.max(F.struct("t", "peer", "error")).alias("__e"))
+    healed = results.filter("error is null").groupBy("node", "peer").agg(F.max("t").alias("__ok"))
+    nodes = results.select("node").distinct().join(last, "node", "left").withColumn("peer", F.col("__e.peer"))
+    gone = F.col("__e").isNull() | (F.col("__ok") > F.col("__e.t"))
+    return nodes.join(healed, ["node", "peer"], "left").select("node", F.when(F.coalesce(gone, F.lit(False)), "").otherwise(F.col("__e.error")).alias("error"))
+
+
+def listed(members: DataFrame) -> DataFrame:
+    """Members in order of their ids; removed ones too."""
+    return members.orderBy("node_id")
+
+
 def blob_sources(members: DataFrame, preferred: str, self_node: str) -> DataFrame:
     """Peers to ask for a file: the preferred one, then the others by id."""
     order = F.row_number().over(Window.orderBy(F.when(F.col("node_id") == preferred, 0).otherwise(1), "node_id"))  # a row for each member

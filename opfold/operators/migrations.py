@@ -28,3 +28,8 @@ def to_run(deferred: DataFrame, applied: DataFrame, peers: DataFrame) -> DataFra
 
 def unapplied(deferred: DataFrame, applied: DataFrame) -> DataFrame:
     return deferred.subtract(applied).agg(F.count("*").alias("unapplied"))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """Applied files in order of their names, each once."""
+    return files.select("file").distinct().orderBy("file")

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from opfold.functions.lww import stamp, supersedes
 from opfold.operators.fold import RECORD, winners
+from opfold.operators.log import running
 from opfold.schemas import FLOOR_HLC
 
+#: Tables that a node keeps for itself: clients, their paths, and rows seen of a snapshot.
+NODE_LOCAL = ("clients", "client_paths", "sync_seen")
+#: Sequence numbers in pieces that a task puts in order.
+BLOCK = "src_seq div 65536"
+
 
 def page(records: DataFrame, versions: DataFrame, col_id: str, after: str, limit: int, peer: str) -> DataFrame:
     """A keyset page of one collection with each row's version; rows without one get the floor."""
@@ -54,8 +60,7 @@ def replay(rescued: DataFrame, state: DataFrame, node: str, local_seq: int) -> D
     before = Window.partitionBy(*RECORD).orderBy("src_seq").rowsBetween(Window.unboundedPreceding, -1)
     judged = rescued.join(at, list(RECORD), "left").withColumn("__best", F.max(stamp()).over(before))
     won = judged.filter(supersedes(F.col("hlc"), F.col("src_node"), F.col("__h"), F.col("__s")) & (F.col("__best").isNull() | (stamp() > F.col("__best"))))
-    seq = F.row_number().over(Window.partitionBy("src_node").orderBy("src_seq"))
-    return won.select(F.lit(node).alias("src_node"), (F.lit(local_seq) + seq).cast("long").alias("src_seq"), "hlc", "op_type", *RECORD, "payload")
+    return running(won, ["src_node"], F.expr(BLOCK), ["src_seq"], F.lit(1), "__k").select(F.lit(node).alias("src_node"), (F.lit(local_seq) + F.col("__k")).alias("src_seq"), "hlc", "op_type", *RECORD, "payload")
 
 
 def reissue(ops: DataFrame, old: str, new: str, acked: int) -> DataFrame:
@@ -64,8 +69,7 @@ def reissue(ops: DataFrame, old: str, new: str, acked: int) -> DataFrame:
     ``acked`` is held between 0 and the node's last sequence.
     """
     own = ops.filter(F.col("src_node") == old)
-    seq = F.row_number().over(Window.partitionBy("src_node").orderBy("src_seq"))
-    return own.filter(F.col("src_seq") > max(0, acked)).select(F.lit(new).alias("src_node"), seq.cast("long").alias("src_seq"), "hlc", "op_type", *RECORD, "payload", F.col("src_seq").alias("old_seq"))
+    return running(own.filter(F.col("src_seq") > max(0, acked)), ["src_node"], F.expr(BLOCK), ["src_seq"], F.lit(1), "__k").select(F.lit(new).alias("src_node"), F.col("__k").alias("src_seq"), "hlc", "op_type", *RECORD, "payload", F.col("src_seq").alias("old_seq"))
 
 
 def move_versions(versions: DataFrame, reissued: DataFrame, old: str, new: str) -> DataFrame:
@@ -95,3 +99,8 @@ def copy_strategy(has_data: bool, resync_pending: bool, has_seed: bool) -> str:
     if resync_pending and has_seed:
         return "resync"
     return "fresh" if has_seed and not has_data else "none"
+
+
+def purge_copied(tables: dict[str, DataFrame], excluded: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The tables of an adopted copy: what a node keeps for itself and the excluded collections are empty, their schemas stay."""
+    return {name: rows.filter(F.lit(False)) if name in (*NODE_LOCAL, *excluded) else rows for name, rows in tables.items()}

@@ -20,11 +20,21 @@ def paths(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ip", "method", "path").agg(F.count("*").alias("hits"), F.max("ts").alias("last_seen"))
 
 
+def path_flush(requests: DataFrame) -> DataFrame:
+    """What a flush adds to the counters by address, method and path."""
+    return requests.groupBy("ip", "method", "path").agg(F.count("*").alias("hits"), F.count_if("blocked").alias("blocked"), F.max("ts").alias("last_seen"))
+
+
 def add(total: DataFrame, delta: DataFrame) -> DataFrame:
     """Counters after a flush: sums add, times widen."""
     return total.unionByName(delta).groupBy("ip").agg(F.sum("requests").alias("requests"), F.sum("blocked").alias("blocked"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+def add_paths(total: DataFrame, delta: DataFrame) -> DataFrame:
+    """Counters by address, method and path after a flush: sums add, the last time stays."""
+    return total.unionByName(delta).groupBy("ip", "method", "path").agg(F.sum("hits").alias("hits"), F.sum("blocked").alias("blocked"), F.max("last_seen").alias("last_seen"))
+
+
 def top_clients(found: DataFrame, most: int) -> DataFrame:
     """The latest seen; equal times by address."""
     return found.orderBy(F.desc("last_seen"), "ip").limit(most)

@@ -175,3 +175,10 @@ def map_dots(spark, d):
 @query("ip_numbers", f"WITH {REQUESTS} SELECT DISTINCT ip, n FROM q")
 def ip_numbers(spark, d):
     return tables.requests(spark, d).select("ip").distinct().select("ip", ipv4(F.col("ip")).alias("n"))
+
+
+@query("path_flush", "WITH " + REQUESTS + " SELECT ip, method, path, count(*) AS hits, count(*) FILTER (blocked) AS blocked, max(ts) AS last_seen FROM q GROUP BY 1, 2, 3")
+def path_flush(spark, d):
+    """Counters by address, method and path after two flushes."""
+    q = telemetry.usable(tables.requests(spark, d), CONFIG.path_bytes)
+    return telemetry.add_paths(telemetry.path_flush(q.filter("event_id % 3 = 0")), telemetry.path_flush(q.filter("event_id % 3 <> 0")))

@@ -215,3 +215,25 @@ def sync_progress(spark, d):
 def migrated_rows(spark, d):
     counts = tables.oplog(spark, d).groupBy("col_id").agg(F.count_distinct("record_id").alias("rows"))
     return timeline.with_total(counts, "col_id", "rows")
+
+
+@query(
+    "global_error",
+    """WITH r AS (SELECT 'n' || user_id % 7 AS node, 'p' || event_id % 9 AS peer, event_id AS t, CASE WHEN event_type IN ('error', 'click') THEN 'sync ' || event_id END AS error FROM events),
+s AS (SELECT *, lag(error) OVER (PARTITION BY node, peer ORDER BY t) AS b FROM r), e AS (SELECT node, arg_max(peer, t) AS peer, max(t) AS t, arg_max(error, t) AS error FROM s WHERE error IS NOT NULL AND b IS NULL GROUP BY 1)
+SELECT n.node, CASE WHEN e.error IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.node = e.node AND r.peer = e.peer AND r.t > e.t AND r.error IS NULL) THEN '' ELSE e.error END AS error FROM (SELECT DISTINCT node FROM r) n LEFT JOIN e USING (node)""",
+)
+def global_error(spark, d):
+    e = table(spark, d, "events")
+    failed = F.when(F.col("event_type").isin("error", "click"), F.concat_ws(" ", F.lit("sync"), "event_id"))
+    return membership.global_error(e.select(F.concat(F.lit("n"), (F.col("user_id") % 7).cast("string")).alias("node"), F.concat(F.lit("p"), (F.col("event_id") % 9).cast("string")).alias("peer"), F.col("event_id").alias("t"), failed.alias("error")))
+
+
+@query("members_listed", f"WITH {MEMBERS} SELECT node_id, url, removed FROM m ORDER BY node_id")
+def members_listed(spark, d):
+    return membership.listed(tables.members(spark, d)).select("node_id", "url", "removed")
+
+
+@query("migrations_listed", "SELECT DISTINCT p_brand || '.js' AS file FROM part ORDER BY file")
+def migrations_listed(spark, d):
+    return migrations.listed(table(spark, d, "part").select(F.concat("p_brand", F.lit(".js")).alias("file")))

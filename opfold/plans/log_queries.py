@@ -452,3 +452,87 @@ def countries(spark, d):
     """A static JSON table of names by code, exploded."""
     text = frame(spark, [('{"DE":"Germany","FR":"France","JP":"Japan"}',)], "t string")
     return text.select(F.explode(F.from_json("t", "map<string,string>")).alias("code", "name"))
+
+
+# rounds: pull, schema operations, parked ones, an adopted copy
+
+PULL_SQL = f"""{LOG}, base AS (SELECT src_node, max(src_seq) AS top FROM oplog GROUP BY 1), l(case_no, lim) AS (VALUES (1, 50), (2, 100000000)),
+page AS (SELECT l.case_no, o.src_node, o.src_seq FROM l JOIN (SELECT src_node, src_seq, row_number() OVER (ORDER BY src_node, src_seq) AS k FROM oplog WHERE src_seq > 10) o ON k <= l.lim)"""
+
+
+@query(
+    "pull_round",
+    f"""WITH {PULL_SQL} SELECT CAST(case_no AS INTEGER) AS case_no, src_node, CASE WHEN src_node = 'node02' THEN 10 WHEN case_no = 2 THEN top + 5 ELSE coalesce(m, 10) END AS seq
+FROM l, base LEFT JOIN (SELECT case_no AS c, src_node AS s, max(src_seq) AS m FROM page GROUP BY 1, 2) ON c = case_no AND s = src_node""",
+)
+def pull_round(spark, d):
+    """node02's vector after one pull at 10 operations a source: by a full page, and by a short one, whose vector lies beyond the log by what compaction took."""
+    ops, out = tables.oplog(spark, d), None
+    told = ops.groupBy("src_node").agg((F.max("src_seq") + 5).alias("seq"))
+    own = ops.select("src_node").distinct().withColumn("seq", F.lit(10).cast("long"))
+    empty = frame(spark, [], "src_node string, min_seq long")
+    for case_no, limit in ((1, 50), (2, 100_000_000)):
+        vector = log.pull_round(ops.filter("src_seq <= 10"), own, ops, told, empty, limit, "node02")[1]
+        one = vector.select(F.lit(case_no).alias("case_no"), "src_node", "seq")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("pull_round_log", f"WITH {PULL_SQL} SELECT src_node, src_seq FROM page WHERE case_no = 1 AND src_node <> 'node02' UNION SELECT src_node, src_seq FROM oplog WHERE src_seq <= 10")
+def pull_round_log(spark, d):
+    ops = tables.oplog(spark, d)
+    own = ops.select("src_node").distinct().withColumn("seq", F.lit(10).cast("long"))
+    return log.pull_round(ops.filter("src_seq <= 10"), own, ops, own, frame(spark, [], "src_node string, min_seq long"), 50, "node02")[0].select("src_node", "src_seq")
+
+
+@query(
+    "schema_effects",
+    f"""WITH {SCHEMA_LOG}, local(id, content) AS (VALUES ('col0', '{{"name":"col0","version":1}}'), ('x1', '{{"name":"col1","version":2}}')), k AS (SELECT max(hlc || '/' || src_node) AS st FROM slog WHERE op_type = 'col_upsert' AND record_id = 'col0' AND src_seq < 100),
+s AS (SELECT src_node, src_seq, record_id, payload, created, event_id, hlc || '/' || src_node AS st, CASE record_id WHEN 'col0' THEN 'col0' WHEN 'col1' THEN 'x1' END AS local_col_id FROM slog WHERE op_type = 'col_upsert'),
+n AS (SELECT s.*, local.content, NOT (record_id = 'col0' AND s.st <= coalesce(k.st, '')) AS newer FROM s CROSS JOIN k LEFT JOIN local ON local.id = s.local_col_id),
+j AS (SELECT *, max(st) FILTER (newer) OVER w AS best, arg_max(payload, st) FILTER (newer) OVER w AS held FROM n WINDOW w AS (PARTITION BY record_id ORDER BY created, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT src_node, src_seq, local_col_id, CASE WHEN NOT newer OR st <= best THEN 'none' WHEN payload = CASE WHEN best IS NULL THEN content ELSE held END THEN 'version' ELSE 'change' END AS effect FROM j""",
+)
+def schema_effects(spark, d):
+    """Schema operations, some padded with white space, against local schemas found by id or by name, one with a version."""
+    ops = tables.oplog_with_schema(spark, d)
+    padded = ops.withColumns({"col_id": F.col("record_id"), "col_name": F.col("record_id"), "payload": F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" \n"), "payload", F.lit("\t "))).otherwise(F.col("payload"))})
+    local = frame(spark, [("col0", "posts", '{"version": 1, "name": "col0"}'), ("x1", "col1", '{"name":"col1","version":2}')], "id string, name string, content string")
+    versions = padded.filter("op_type = 'col_upsert' and record_id = 'col0' and src_seq < 100").select("record_id", "hlc", "src_node")
+    return fold.schema_effects(padded, local, versions).select("src_node", "src_seq", "local_col_id", "effect")
+
+
+@query(
+    "schema_field_merge",
+    """WITH p AS (SELECT p_partkey AS k, 'c' || p_partkey % 7 AS collection, 'f' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'number' ELSE 'bool' END AS type FROM part)
+SELECT collection, CASE WHEN k % 2 = 0 OR k % 11 <> 0 THEN 'e' || k ELSE 'r' || k END AS id, name, CASE WHEN k % 11 = 0 THEN 'json' ELSE type END AS type, false AS system FROM p WHERE k % 4 <> 0
+UNION ALL SELECT collection, 'e' || k, name, type, true FROM p WHERE k % 5 = 0 AND (k % 4 = 0 OR (k % 2 = 1 AND k % 11 = 0))""",
+)
+def schema_field_merge(spark, d):
+    """Fields under the same id, under another id, of another type, and left out."""
+    k = F.col("p_partkey")
+    mine = table(spark, d, "part").select(k, F.concat(F.lit("c"), (k % 7).cast("string")).alias("collection"), F.concat(F.lit("e"), k.cast("string")).alias("id"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.when(k % 3 == 0, "text").when(k % 3 == 1, "number").otherwise("bool").alias("type"), (k % 5 == 0).alias("system"))
+    theirs = mine.filter("p_partkey % 4 <> 0").withColumns({"id": F.when(k % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("r"), k.cast("string"))), "type": F.when(k % 11 == 0, "json").otherwise(F.col("type")), "system": F.lit(False)})
+    return fold.merge_fields(mine.drop("p_partkey"), theirs.drop("p_partkey"))
+
+
+@query("parked_retry", f"WITH {SCHEMA_LOG} SELECT src_node, src_seq, CASE col_id WHEN 'col2' THEN 'col2' ELSE 'x1' END AS local_col_id, col_id = 'col2' OR (SELECT count(*) > 0 FROM slog WHERE op_type = 'col_upsert' AND record_id = 'col1') AS released FROM slog WHERE op_type IN ('upsert', 'delete') AND col_id <> 'col0' AND EXISTS (SELECT 1 FROM slog s WHERE s.op_type = 'col_upsert' AND s.record_id = slog.col_id) UNION ALL SELECT src_node, src_seq, NULL, false FROM slog WHERE op_type IN ('upsert', 'delete') AND (col_id = 'col0' OR NOT EXISTS (SELECT 1 FROM slog s WHERE s.op_type = 'col_upsert' AND s.record_id = slog.col_id))")
+def parked_retry(spark, d):
+    """Operations of three unknown collections: one's schema comes under its id, one's under another id and its name, one's never."""
+    ops = tables.oplog_with_schema(spark, d).withColumn("col_name", F.col("col_id"))
+    came = ops.filter("op_type = 'col_upsert' and record_id <> 'col0'").withColumns({"col_name": F.col("record_id"), "record_id": F.when(F.col("record_id") == "col1", "x1").otherwise(F.col("record_id"))})
+    done, rest = fold.retry_parked(ops.filter("op_type in ('upsert', 'delete')"), frame(spark, [], "id string, name string"), came)
+    return done.select("src_node", "src_seq", "local_col_id", F.lit(True).alias("released")).unionByName(rest.select("src_node", "src_seq", F.lit(None).cast("string").alias("local_col_id"), F.lit(False).alias("released")))
+
+
+@query("copy_purge", f"WITH {LOG}, {STATE} SELECT 'versions' AS kept, col_id || '/' || record_id AS key FROM state UNION ALL SELECT 'posts', record_id FROM state WHERE col_id = 'col0' AND op_type <> 'delete'")
+def copy_purge(spark, d):
+    """A copy with clients, paths, seen rows and an excluded collection, after its adoption."""
+    state = half_state(spark, d, 0)
+    rows = {name: table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key")) for name in ("clients", "client_paths", "sync_seen", "_logs")}
+    rows |= {"versions": state.select(F.concat_ws("/", "col_id", "record_id").alias("key")), "posts": fold.live(state).filter("col_id = 'col0'").select(F.col("record_id").alias("key"))}
+    out = None
+    for name, left in snapshot.purge_copied(rows, CONFIG.excluded()).items():
+        one = left.select(F.lit(name).alias("kept"), "key")
+        out = one if out is None else out.union(one)
+    return out
