@@ -1,5 +1,6 @@
 """The semantic traps, on small tables written by hand."""
 
+import datetime
 import random
 
 import pytest
@@ -244,3 +245,55 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_running_sums_by_block(spark):
+    """Blocks of any size give what one window gives; a null group is a group, an empty table stays empty."""
+    rows = [(s, k, k % 3) for s in ("a", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "s string, k long, v long")
+    for size in (1, 7, 100):
+        got = {(r.s, r.k): r.total for r in log.running(df, ["s"], F.expr(f"k div {size}"), ["k"], F.col("v"), "total").collect()}
+        assert got == {(s, k): sum(i % 3 for i in range(k + 1)) for s, k, _ in rows}
+    assert log.running(df.limit(0), ["s"], F.col("k"), ["k"], F.lit(1), "n").collect() == []
+
+
+def test_pull_round(spark):
+    """A short page adopts the peer's vector over a hole, a full one doesn't; a horizon beyond the vector leaves all as it was."""
+    schema = "src_node string, src_seq long, created timestamp_ntz, event_id long"
+    at = datetime.datetime(2024, 1, 1)
+    ops = spark.createDataFrame([("a", n, at, n) for n in (1, 2, 4)], schema)
+    none, vector = spark.createDataFrame([], "src_node string, min_seq long"), spark.createDataFrame([("a", 0)], "src_node string, seq long")
+    told = spark.createDataFrame([("a", 4), ("me", 9)], "src_node string, seq long")
+
+    def after(limit, horizon=none):
+        found, moved, needed = log.pull_round(ops.limit(0), vector, ops, told, horizon, limit, "me")
+        return sorted(r.src_seq for r in found.collect()), {r.src_node: r.seq for r in moved.collect()}, needed.first()[0]
+
+    assert after(10) == ([1, 2, 4], {"a": 4}, False)
+    assert after(3) == ([1, 2, 4], {"a": 2}, False)
+    assert after(10, spark.createDataFrame([("a", 3)], "src_node string, min_seq long")) == ([], {"a": 0}, True)
+
+
+def test_schema_changed_back(spark):
+    """A schema that was changed and changed back counts as a change, white space doesn't, an older operation is none; a deletion is a change."""
+    schema = "op_type string, col_id string, col_name string, record_id string, payload string, hlc string, src_node string, created timestamp_ntz, event_id long"
+    text = ['{"v":1}', ' {"v":1}\n', '{"v":2}', '{"v":1}', '{"v":3}', "", '{"v":1}']
+    rows = [("col_delete" if not t else "col_upsert", "c", None, "c", t, f"{h:04d}", "n", datetime.datetime(2024, 1, 1), k) for k, (t, h) in enumerate(zip(text, (1, 2, 3, 4, 1, 6, 7), strict=True))]
+    catalog = spark.createDataFrame([("c", "posts", '{"v": 1}')], "id string, name string, content string")
+    versions = spark.createDataFrame([("c", "0000", "n")], "record_id string, hlc string, src_node string")
+    got = fold.schema_effects(spark.createDataFrame(rows, schema), catalog, versions).orderBy("event_id").collect()
+    assert [r.effect for r in got] == ["version", "version", "change", "change", "none", "change", "change"]
+    assert fold.schema_effects(spark.createDataFrame(rows, schema).limit(0), catalog, versions).count() == 0
+
+
+def test_purge_after_a_copy(spark):
+    rows = spark.range(3)
+    left = snapshot.purge_copied({"clients": rows, "sync_seen": rows, "_logs": rows, "posts": rows}, ("_logs",))
+    assert {k: v.count() for k, v in left.items()} == {"clients": 0, "sync_seen": 0, "_logs": 0, "posts": 3} and left["_logs"].columns == ["id"]
+
+
+def test_error_of_another_peer_stays(spark):
+    """A success takes back only its own peer's error; what that one had replaced doesn't come again."""
+    rows = [("n", "a", 1, "x"), ("n", "b", 2, "y"), ("n", "a", 3, None), ("m", "a", 1, "x"), ("m", "b", 2, "y"), ("m", "b", 3, None), ("k", "a", 1, None)]
+    got = membership.global_error(spark.createDataFrame(rows, "node string, peer string, t long, error string"))
+    assert {r.node: r.error for r in got.collect()} == {"n": "y", "m": "", "k": ""}
