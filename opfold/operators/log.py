@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("src_node", "src_seq")
+#: Numbers in a bitmap of Spark's.
+BITS = 32_768
 
 
 def arrivals() -> Column:
@@ -85,25 +87,30 @@ def page_after_vector(ops: DataFrame, vector: DataFrame, horizon: DataFrame, lim
     return page, needed
 
 
-def contiguous(ops: DataFrame, vector: DataFrame, block: int = 1 << 16) -> DataFrame:
+def contiguous(ops: DataFrame, vector: DataFrame, block: int = BITS) -> DataFrame:
     """How far each source's sequence goes on from the vector without a hole; also its maximum.
 
-    Sequences are counted in blocks first; only the first block that is not
-    full is looked at row by row, so no task gets the whole of a source.
+    One pass and one shuffle, of a bitmap for every ``block`` numbers of a
+    source (32 768 at most); the first that is not full says where the hole is.
     """
     start = F.coalesce("seq", F.lit(0))
-    ahead = ops.select(*KEY).distinct().join(F.broadcast(vector), "src_node", "left").filter(F.col("src_seq") > start).withColumn("__at", F.col("src_seq") - start - 1)
-    counted = ahead.withColumn("__b", F.expr(f"__at div {block}"))
-    blocks = counted.groupBy("src_node", "__b").agg(F.count("*").alias("__n"), F.max("src_seq").alias("__top"))
-    ordered = blocks.withColumn("__rn", F.row_number().over(Window.partitionBy("src_node").orderBy("__b")) - 1)
+    ahead = ops.select(*KEY).join(F.broadcast(vector), "src_node", "left").filter(F.col("src_seq") > start).withColumn("__at", F.col("src_seq") - start - 1)
+    block = min(block, BITS)
+    bits = F.bitmap_construct_agg(F.col("__at") % block)
+    maps = ahead.groupBy("src_node", F.expr(f"__at div {block} + 1").alias("__b")).agg(bits.alias("__bits"), F.max("src_seq").alias("__top"))
+    # what the first bytes that are all ones, and the byte after them, begin with
+    digits = F.hex("__bits")
+    whole = F.floor((F.length(digits) - F.length(F.ltrim(digits, F.lit("F")))) / 2).cast("int")
+    byte = F.lpad(F.conv(F.substring(digits, whole * 2 + 1, F.lit(2)), 16, 2), 8, "0")
+    ones = F.length(byte) - F.length(F.rtrim(byte, F.lit("1")))
+    marked = maps.select("src_node", "__b", "__top", F.bitmap_count("__bits").alias("__n"), (whole * 8 + F.coalesce(ones, F.lit(0))).alias("__lead"))
+    ordered = marked.withColumn("__rn", F.row_number().over(Window.partitionBy("src_node").orderBy("__b")))  # a row a bitmap
     broken = (F.col("__b") != F.col("__rn")) | (F.col("__n") < block)
-    full = ordered.groupBy("src_node").agg(F.coalesce(F.min(F.when(broken, F.col("__rn"))), F.count("*")).cast("long").alias("__full"), F.max("__top").alias("top"))
-    edge = counted.join(F.broadcast(full.select("src_node", "__full")), "src_node").filter(F.col("__b") == F.col("__full"))
-    numbered = edge.withColumn("__k", F.row_number().over(Window.partitionBy("src_node").orderBy("__at")) - 1)
-    run = numbered.groupBy("src_node").agg(F.count_if(F.col("__at") - F.col("__full") * block == F.col("__k")).alias("run"))
+    first = F.min(F.when(broken, F.struct("__rn", F.when(F.col("__b") == F.col("__rn"), F.col("__lead")).otherwise(0).alias("lead"))))
+    runs = ordered.groupBy("src_node").agg(first.alias("__f"), F.count("*").alias("__all"), F.max("__top").alias("top"))
+    done = F.coalesce((F.col("__f.__rn") - 1) * block + F.col("__f.lead"), F.col("__all") * block, F.lit(0)).cast("long")
+    both = vector.select("src_node", "seq").join(runs, "src_node", "full_outer")
     # a source without rows ahead can only be one that the vector names
-    done = F.coalesce(F.col("__full") * block, F.lit(0)) + F.coalesce("run", F.lit(0))
-    both = vector.select("src_node", "seq").join(full.join(run, "src_node", "left"), "src_node", "full_outer")
     return both.select("src_node", (start + done).alias("seq"), F.coalesce("top", "seq", F.lit(0)).alias("top"))
 
 
