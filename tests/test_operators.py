@@ -297,3 +297,18 @@ def test_error_of_another_peer_stays(spark):
     rows = [("n", "a", 1, "x"), ("n", "b", 2, "y"), ("n", "a", 3, None), ("m", "a", 1, "x"), ("m", "b", 2, "y"), ("m", "b", 3, None), ("k", "a", 1, None)]
     got = membership.global_error(spark.createDataFrame(rows, "node string, peer string, t long, error string"))
     assert {r.node: r.error for r in got.collect()} == {"n": "y", "m": "", "k": ""}
+
+
+def test_contiguous_over_the_edges_of_bitmaps(spark):
+    """Holes at and beside the edge of a bitmap and of a byte, whole bitmaps that are missing, repeated numbers, a start."""
+    edge = log.BITS
+    held = {"full": range(1, edge + 1), "two": range(1, 2 * edge + 10), "byte": [i for i in range(1, 60) if i != 9], "bit": [i for i in range(1, 60) if i != 8], "missing": [*range(1, edge + 1), 2 * edge + 5], "last": [i for i in range(1, edge + 3) if i != edge], "twice": [1, 1, 2, 2, 3], "start": range(1, 20)}
+    rows = spark.createDataFrame([(k, list(v)) for k, v in held.items()], "src_node string, n array<long>").select("src_node", F.explode("n").alias("src_seq"))
+    vector = {"start": 7, "only": 3}
+    got = {r.src_node: (r.seq, r.top) for r in log.contiguous(rows, spark.createDataFrame(list(vector.items()), "src_node string, seq long")).collect()}
+    for k in (*held, "only"):
+        seen, end = set(held.get(k, ())), vector.get(k, 0)
+        top = max([*seen, end])
+        while end + 1 in seen:
+            end += 1
+        assert got[k] == (end, top), k
