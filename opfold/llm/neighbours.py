@@ -129,10 +129,11 @@ class Forest:
     def rows_needed(self, unit: np.ndarray, sizes: np.ndarray, found_in: np.ndarray) -> np.ndarray:
         """For rows given by their leaves (one a tree): the least ``rows`` with which ``search`` meets each."""
         far = self.far(unit)
-        order = np.argsort(far, kind="stable")
+        taken = np.flatnonzero(sizes)
+        # of leaves equally far any may come last: then the fewest rows are left out if it is the smallest
+        order = taken[np.lexsort((-sizes[taken], far[taken]))]
         held = np.concatenate([[0], np.cumsum(sizes[order])])
-        # of leaves equally far any may come last
-        return held[np.searchsorted(far[order], far[found_in].min(axis=1), "right") - 1] + 1
+        return held[np.maximum(np.searchsorted(far[order], far[found_in].min(axis=1), "right") - 1, 0)] + 1
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -250,6 +250,18 @@ def test_rows_needed_are_what_the_search_takes():
         assert set(forest.search(points[0], sizes, int(need[k]))) & set(leaves[k].tolist())
 
 
+def test_rows_needed_of_leaves_equally_far():
+    """Two leaves beyond one hyperplane are equally far: the search may take either first, also where one is smaller or empty."""
+    forest = neighbours.Forest(np.array([[1.0, 0.0]]), 1, 8)
+    forest.plane, forest.cut = np.array([[1.0, 0.0], [0.0, 1.0]]), np.zeros(2)
+    forest.child, forest.roots, forest.leaves = np.array([[~0, 1], [~1, ~2]]), [0], 3
+    point = np.array([-1.0, 0.5])
+    for sizes in ([5, 3, 9], [5, 9, 3], [5, 0, 3], [0, 9, 3]):
+        need = forest.rows_needed(point, np.array(sizes), np.array([[1], [2]]))
+        for leaf in (1, 2):
+            assert not sizes[leaf] or leaf in forest.search(point, np.array(sizes), int(need[leaf - 1]))
+
+
 # archives
 
 
