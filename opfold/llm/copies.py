@@ -10,8 +10,8 @@ Candidates share a Golay key of one of ``KEYED`` of the sketch's four words and
 differ in no more bits than ``margin``: three standard deviations over what is
 expected of sets of equal size with that similarity. A pair at a similarity of
 0.8 misses one word's keys in about one of five cases (README), all three
-words' in one of a hundred. A word's keys are made, and its shuffle is left
-behind, at a time.
+words' in one of a hundred. The keys of one pair of segments of one word are
+made, and their shuffle is left behind, at a time: nine rounds.
 
 Sketches travel with their keys, so that a bucket is judged where it lies. It
 yields each member's ``NEAREST`` candidates, never its pairs; where members have
@@ -24,7 +24,10 @@ with sketches of 1024 bits; all pairs of different groups within the margin of
 the latter (0.06 in similarity) are compared exactly where they lie, and of the
 links one is written for every two groups that it joins. So no link is lost to
 the choice of the nearest, and no pairs are written. A large family is dealt out
-in slices, every two of which meet.
+in slices, every two of which meet. After the rounds ``TOLD`` the rows carry
+their family so far and whether they have more: two such members of one family
+will meet there (both only grow), so later rounds leave them out, and edges
+between families take the place of edges between members.
 
 Of a component one row stays: that with the least id (rows without one come
 last), then the least text hash. Rows are told apart by id and text, so
@@ -48,12 +51,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opfold.llm.common import LOWER_AND_SPACES, written
-from opfold.llm.simhash import COUNTED, components, keys_of, large_buckets, shingle_hashes, sliced
+from opfold.llm.simhash import COUNTED, PAIRS, components, keys_of, large_buckets, shingle_hashes, sliced
 
 WORDS, SIMILARITY, LANES, KEYED, NEAREST, FIRST, LONG = 5, 0.8, 4, 3, 2, 2, 16
 #: Members of a bucket in the copies' search beyond which it (or a family, or one of so many shingles) is dealt out in slices, and up to which it is judged together with others.
 SLICE_ROWS, SLICE_ITEMS, FEW = 1 << 14, 8 << 20, 48
 SKETCH = [f"s{k}" for k in range(LANES)]
+#: Rounds of the candidates' search after which open members and families are told to its rows.
+TOLD = (0, 2)
+#: Links up to which their components are found in the driver (1 MB).
+FEW_LINKS = 1 << 16
 HASHES_AT_ONCE = 1 << 15
 
 
@@ -114,7 +121,12 @@ def blocks_of(rows: np.ndarray, some: np.ndarray, cells: int = 1 << 20) -> Itera
         yield block, apart
 
 
-def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def apart_families(open_: np.ndarray, families: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two places are not both open in one family, where they are compared anyway."""
+    return ~(open_[x] & open_[y] & (families[x] == families[y]))
+
+
+def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, open_: np.ndarray, families: np.ndarray, most: int, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of buckets in key order: pairs (x, y) of places that hold one of the ``nearest`` candidates of x in its bucket, and the places that have more."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
@@ -124,6 +136,8 @@ def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, n
         x = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d])
         bits = bits_between(rows, x, x + d)
         x, bits = x[bits <= most], bits[bits <= most]
+        new = apart_families(open_, families, x, x + d)
+        x, bits = x[new], bits[new]
         xs += [x, x + d]
         ys += [x + d, x]
         bs += [bits, bits]
@@ -132,6 +146,8 @@ def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, n
         for block, apart in blocks_of(rows[s : s + n], np.arange(n)):
             apart[np.arange(len(block)), block] = most + 1
             x, y = np.nonzero(apart <= most)
+            new = apart_families(open_, families, s + block[x], s + y)
+            x, y = x[new], y[new]
             bits = apart[x, y].astype(np.int64)
             order = np.lexsort((ids[s + y], bits, x))
             x, y, bits = x[order], y[order], bits[order]
@@ -147,8 +163,8 @@ def nearest_in(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int, n
     return x[place < nearest], y[place < nearest], np.unique(np.concatenate([x[place >= nearest], *more]))
 
 
-def forest_in(keys: np.ndarray, rows: np.ndarray, most: int, more: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (x, y) of the candidates in each bucket that holds one of the places ``more``, searched by breadth."""
+def forest_in(keys: np.ndarray, rows: np.ndarray, families: np.ndarray, most: int, more: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of families that candidates join in the buckets which hold one of the places ``more``: of each bucket a spanning forest, searched by breadth."""
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = np.unique(np.searchsorted(keys, keys[more], "left"))
     for s, e in zip(starts.tolist(), np.searchsorted(keys, keys[starts], "right").tolist(), strict=True):
@@ -161,10 +177,11 @@ def forest_in(keys: np.ndarray, rows: np.ndarray, most: int, more: np.ndarray, c
                 near = np.bitwise_count(rows[block][:, None, :] ^ rows[rest][None, :, :]).sum(axis=2, dtype=np.uint16) <= most
                 reached = near.any(axis=0)
                 if reached.any():
-                    xs.append(block[near.argmax(axis=0)[reached]])
-                    ys.append(rest[reached])
+                    xs.append(families[block[near.argmax(axis=0)[reached]]])
+                    ys.append(families[rest[reached]])
                     frontier, rest = np.concatenate([frontier, rest[reached]]), rest[~reached]
-    return np.concatenate(xs), np.concatenate(ys)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    return x[x != y], y[x != y]
 
 
 def joins_in(ids: np.ndarray, groups: np.ndarray, rows: np.ndarray, sets: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
@@ -206,52 +223,115 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[list[np
         yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
 
 
-def keyed(rows: DataFrame, lane: int, large: dict[int, int], columns: list[str]) -> DataFrame:
-    """The columns (the first: id) of each row beside each of its Golay keys of one sketch word, in buckets."""
+def ids_of(rows: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 makes of the sketch words."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+    out = np.full(len(rows), 42, np.uint64)
+    for k in range(rows.shape[1]):
+        out = turned((out + p5 + np.uint64(8)) ^ turned(rows[:, k] * p2, 31) * p1, 27) * p1 + p4
+        out = (out ^ out >> np.uint64(33)) * p2
+        out = (out ^ out >> np.uint64(29)) * p3
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def keyed(rows: DataFrame, lane: int, pair: int, large: dict[int, int]) -> DataFrame:
+    """Rows (sketch words, family, open) beside each of the Golay keys that one pair of segments of one sketch word makes, in buckets; the last bit of ``key`` says whether the row is open.
+
+    Rows move without their id, which the sketch gives, and most without a family: the sketch is nearly all that they weigh.
+    """
     slices = rows.sparkSession.sparkContext.broadcast(large)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                own, keys = sliced(*keys_of(part.column(0).to_numpy().view(np.uint64)), part.column(1).to_numpy(), slices.value)
+                words = np.stack([part.column(k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
+                own, keys = sliced(*keys_of(np.ascontiguousarray(words[:, lane]), pair), ids_of(words), slices.value)
                 take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(1 + c).take(take) for c in range(len(columns)))], names=["key", *columns])
+                keys = keys.astype(np.int64) << 1 | part.column(LANES + 1).to_numpy(zero_copy_only=False)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(take) for c in range(LANES + 1))], names=["key", *SKETCH, "family"])
 
-    kinds = dict(rows.dtypes)
-    made = rows.select(F.col(SKETCH[lane]).alias("__word"), *columns).mapInArrow(emit, "key int, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
-    return made.repartition("key").sortWithinPartitions("key")
+    made = rows.select(*SKETCH, "family", "open").mapInArrow(emit, "key long, " + ", ".join(f"{c} long" for c in [*SKETCH, "family"]))
+    return made.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
 
-def pairs_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs of ids, the smaller first."""
-    pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), bits]), axis=1)
+def pairs_of(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the smaller first."""
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), bits]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs], names=["a", "b", "bits"])
 
 
-def by_lanes(search, name: str, spark: SparkSession) -> DataFrame:
-    """The distinct rows that ``search`` finds by the keys of each sketch word, one after the other."""
-    found = None
-    for lane in range(KEYED):
-        one = written(search(lane).distinct(), name)
-        found = one if found is None else found.unionByName(one)
-        # Spark deletes a shuffle's files when its plan is collected: else those of all words lie on the disk together
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return written(found.distinct(), name)
+def freed(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when its plan is collected: else those of several steps lie on the disk together."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def candidates(distinct: DataFrame, most: int, large: dict[str, dict[int, int]]) -> DataFrame:
-    """Candidates (a, b, bits) among rows (id, sketch words) by each member's nearest in every bucket; (a, a, -1): a has more; (a, b, -2): in the forest of a bucket where one has."""
+def roots_of(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """``components`` of the links (a, b), written; of no more than ``few`` links without the rounds, each of which takes several jobs and tables."""
+    spark = links.sparkSession
+    if links.count() > few:
+        return written(components(links), "roots")
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(*(c.to_pylist() for c in links.select("a", "b").toArrow().columns), strict=True):
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    nodes = list(parent)
+    return written(spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())}), "node long, root long"), "roots")
+
+
+def candidates(distinct: DataFrame, most: int, large: dict[str, dict[int, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Among rows (id, sketch words): candidates (a, b, bits) by each member's nearest in every bucket, the members (id) that have more, and their families (id, family).
+
+    The keys of one pair of segments of one sketch word at a time. What is open
+    and its family are told to the rows after the rounds ``TOLD``: two open
+    members of one family are no candidates in later rounds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, rows in whole_buckets(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(2 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)]):
-            x, y, more = nearest_in(keys, ids, rows, most)
-            p, q = forest_in(keys, rows, most, more)
+        def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+            rows = np.stack([batch.column(1 + k).to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
+            ids, family, key = ids_of(rows), batch.column(1 + LANES), batch.column(0).to_numpy()
+            named = family.is_valid().to_numpy(zero_copy_only=False)
+            return [key >> 1, ids, rows, key & 1 == 1, np.where(named, family.fill_null(0).to_numpy(), ids)]
+
+        for keys, ids, rows, open_, families in whole_buckets(batches, arrays):
+            x, y, more = nearest_in(keys, ids, rows, open_, families, most)
+            p, q = forest_in(keys, rows, families, most, more)
             bits = np.concatenate([bits_between(rows, x, y), np.full(len(more), -1), np.full(len(p), -2)])
-            yield pairs_of(ids, np.concatenate([x, more, p]), np.concatenate([y, more, q]), bits)
+            yield pairs_of(np.concatenate([ids[x], ids[more], p]), np.concatenate([ids[y], ids[more], q]), bits)
 
-    return by_lanes(lambda lane: keyed(distinct, lane, large[SKETCH[lane]], ["id", *SKETCH]).mapInArrow(run, "a long, b long, bits long"), "candidates", distinct.sparkSession)
+    spark, found, families = distinct.sparkSession, None, None
+    rows = distinct.select("id", *SKETCH, F.lit(None).cast("long").alias("family"), F.lit(False).alias("open"))
+    rounds = [(lane, pair) for lane in range(KEYED) for pair in range(len(PAIRS))]
+    for n, (lane, pair) in enumerate(rounds):
+        one = written(keyed(rows, lane, pair, large[SKETCH[lane]]).mapInArrow(run, "a long, b long, bits long").distinct(), "candidates")
+        found = one if found is None else found.unionByName(one)
+        freed(spark)
+        if n not in TOLD and n + 1 < len(rounds):
+            continue
+        # an edge joins two families as they were told; a family's name is an id of its members
+        more, joins = found.filter("bits = -1").select(F.col("a").alias("id")).distinct(), found.filter("bits = -2").select("a", "b")
+        families = roots_of(joins).select(F.col("node").alias("id"), F.col("root").alias("family"))
+        freed(spark)
+        if n + 1 < len(rounds):
+            told = families.join(more.withColumn("open", F.lit(True)), "id", "left").select("id", "family", F.coalesce("open", F.lit(False)).alias("open"))
+            rows = written(distinct.select("id", *SKETCH).join(told, "id", "left").select("id", *SKETCH, "family", F.coalesce("open", F.lit(False)).alias("open")), "told")
+            freed(spark)
+    pairs = written(found.filter("bits >= 0").distinct(), "pairs")
+    return pairs, written(more, "more"), families
 
 
 def links_apart(rows: DataFrame, most: int, similarity: float, slice_rows: int = SLICE_ROWS, slice_items: int = SLICE_ITEMS) -> DataFrame:
@@ -323,18 +403,18 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("least")
     distinct = written(marked.groupBy(*SKETCH).agg(least).select(F.xxhash64(*SKETCH).alias("id"), *SKETCH, "least", "least.doc_id", "least.text_hash"), "distinct")
     large = large_buckets(distinct, "id", SKETCH[:KEYED], SLICE_ROWS, COUNTED)
-    found = candidates(distinct, most, large)
-    pairs, more, forest = found.filter("bits >= 0"), found.filter("bits = -1").select(F.col("a").alias("id")), found.filter("bits = -2").select("a", "b")
+    pairs, more, families = candidates(distinct, most, large)
     linked = written(distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "linked")
     sets = written(shingle_sets(docs, linked.select("id", "doc_id", "text_hash"), words), "sets")
+    freed(docs.sparkSession)
     both = pairs.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("x"))
     ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy("x").orderBy("bits", "a", "b")))
     first = written(ranked.filter(F.col("__n") <= FIRST).select("a", "b").distinct(), "first")
     sure = written(verified(first, sets, similarity), "sure")
-    groups = components(sure)
+    freed(docs.sparkSession)
+    groups = roots_of(sure)
     grouped = written(linked.join(groups, linked.id == groups.node, "left").select("id", F.coalesce("root", "id").alias("group")), "groups")
     of_a, of_b = (grouped.select(F.col("id").alias(c), F.col("group").alias(f"of_{c}")) for c in "ab")
-    families = components(forest).select(F.col("node").alias("id"), F.col("root").alias("family"))
     open_rows = grouped.join(more, "id", "left_semi").join(families, "id")
     mixed = open_rows.groupBy("family").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x != y").select("family")
     open_rows = written(open_rows.join(mixed, "family", "left_semi").join(sets, "id"), "open")
@@ -343,7 +423,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").filter("of_a != of_b")
     rest = rest.join(family_a, "a", "left").join(family_b, "b", "left").filter(~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
     joined = verified(written(rest, "rest"), sets, similarity).union(links_apart(open_rows, margin(similarity, LONG), similarity))
-    roots = written(components(written(sure.unionByName(joined), "links")), "roots")
+    links = written(sure.unionByName(joined), "links")
+    freed(docs.sparkSession)
+    roots = roots_of(links)
+    freed(docs.sparkSession)
     # only what links has a root: a row each of the linked sketches meets them, the rest is its own component
     named = written(linked.join(roots, linked.id == roots.node).select(*SKETCH, "least", "root"), "named")
     kept = named.groupBy("root").agg(F.min("least").alias("kept"))
@@ -365,6 +448,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SI
     """
     found = near_copies(docs, words, similarity).filter(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))))
     gone = written(found.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct(), "gone")
+    freed(docs.sparkSession)
     own = docs.select(row_key(docs.doc_id, F.xxhash64(docs.text)).alias("__key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     kept = own.join(gone.hint("merge"), own["__key"] == gone["__gone"], "left_anti")
     order = F.xxhash64(*(F.col(f"row.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()))

@@ -150,11 +150,13 @@ def codewords(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ np.maximum(patterns, 0)) >> 11, patterns >= 0
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every key of every unsigned fingerprint."""
+def keys_of(fps: np.ndarray, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of every unsigned fingerprint, or of those keys that one pair of segments makes."""
     near = [codewords((fps >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)) for first, bits in SEGMENTS]
     rows, keys = [], []
     for k, (a, b) in enumerate(PAIRS):
+        if only not in (None, k):
+            continue
         (ia, oka), (ib, okb) = near[a], near[b]
         key = (k << 24 | ia[:, :, None] << 12 | ib[:, None, :]).reshape(len(fps), -1)
         row, col = np.nonzero((oka[:, :, None] & okb[:, None, :]).reshape(len(fps), -1))

@@ -513,6 +513,39 @@ def test_components_of_a_chained_family(spark):
     assert {r.doc_id for r in copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and 100 < len(want) < 290
 
 
+def test_a_familys_candidates_are_yielded_once(spark, monkeypatch):
+    """Members of one family meet in most of their keys: later rounds leave out what is compared by family, and so do not write those pairs again."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, rows = rng.choices(pool, k=150), []
+    for k in range(600):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            copy[at] = rng.choice(pool)
+        rows.append((k, " ".join(copy)))
+    tables = []
+    monkeypatch.setattr(copies, "written", lambda df, name, write=copies.written: tables.append((name, write(df, name))) or tables[-1][1])
+    copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    found = [table for name, table in tables if name == "candidates"]
+    pairs, joins = (len({(r.a, r.b) for table in found for r in table.filter(kind).collect()}) for kind in ("bits >= 0", "bits = -2"))
+    assert 0 < pairs < 25 * len(rows) and 0 < joins < 15 * len(rows)
+
+
+def test_roots_of_few_links_are_those_of_the_rounds(spark):
+    rng = np.random.default_rng(4)
+    links = spark.createDataFrame([tuple(x) for x in rng.integers(-300, 300, (250, 2)).tolist()] + [(7, 7), (900, 900)], "a long, b long")
+    few, rounds = ({(r.node, r.root) for r in copies.roots_of(links, n).collect()} for n in (1000, 10))
+    assert few == rounds and len(few) > 300
+    assert copies.roots_of(links.limit(0)).count() == 0
+
+
+def test_ids_are_sparks_hashes(spark):
+    words = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, (50, 4), dtype=np.int64)
+    words[0] = 0
+    df = spark.createDataFrame([w.tolist() for w in words], "a long, b long, c long, d long")
+    assert copies.ids_of(words.view(np.uint64)).tolist() == [r[0] for r in df.selectExpr("xxhash64(a, b, c, d)").collect()]
+
+
 def test_families_in_slices_give_what_whole_ones_give(spark):
     """Groups joined by exact links, however a family is dealt out; a row without shingles links to nothing."""
     rng = np.random.default_rng(9)
