@@ -83,19 +83,36 @@ def ipv6(ip: Column) -> Column:
     return bound(plain, digits)
 
 
+def bits(digits: Column, size: int) -> Column:
+    """Hexadecimal digits as so many binary ones, which sort as addresses do."""
+    if size <= 64:
+        return F.lpad(F.conv(digits, 16, 2), size, "0")
+    return F.concat(*(F.lpad(F.conv(F.substring(digits, k // 4 + 1, 16), 16, 2), 64, "0") for k in range(0, size, 64)))
+
+
+def shared_bits(low: Column, high: Column) -> Column:
+    """How many digits two strings of bits have in common at their beginning."""
+    return F.length(F.regexp_extract(F.concat(low, F.lit(","), high), r"^([01]*)[01]*,\1", 1))
+
+
 def cidr6(cidr: Column) -> tuple[Column, Column]:
     """The first and the last address of an IPv6 network as digits, null if malformed."""
     text = F.regexp_extract(cidr, r"^[^/]+/(\d{1,3})$", 1)
     bits = F.when((text != "") & (F.length(text) < 4), text.try_cast("int"))
     bits = F.when(bits.between(0, 128), bits)
-    at = ipv6(F.substring_index(cidr, "/", 1))
-    whole, rest = F.floor(bits / 4).cast("int"), bits % 4
-    kept = F.substr(at, F.lit(1), whole)
-    step = F.pow(F.lit(2.0), 4 - rest).cast("int")
-    digit = F.conv(F.substr(at, whole + 1, F.lit(1)), 16, 10).cast("int")
-    first = F.when(rest > 0, F.lower(F.hex((digit - digit % step).cast("long")))).otherwise("")
-    last = F.when(rest > 0, F.lower(F.hex((digit - digit % step + step - 1).cast("long")))).otherwise("")
-    return F.rpad(F.concat(kept, first), 32, "0"), F.rpad(F.concat(kept, last), 32, "f")
+
+    def ends(at: Column, bits: Column) -> Column:
+        whole, rest = F.floor(bits / 4).cast("int"), bits % 4
+        kept = F.substr(at, F.lit(1), whole)
+        step = F.pow(F.lit(2.0), 4 - rest).cast("int")
+        digit = F.conv(F.substr(at, whole + 1, F.lit(1)), 16, 10).cast("int")
+        first = F.when(rest > 0, F.lower(F.hex((digit - digit % step).cast("long")))).otherwise("")
+        last = F.when(rest > 0, F.lower(F.hex((digit - digit % step + step - 1).cast("long")))).otherwise("")
+        return F.struct(F.rpad(F.concat(kept, first), 32, "0").alias("first"), F.rpad(F.concat(kept, last), 32, "f").alias("last"))
+
+    parts = F.struct(ipv6(F.substring_index(cidr, "/", 1)).alias("at"), bits.alias("bits"))
+    both = bound(parts, lambda p: ends(p["at"], p["bits"]))
+    return both["first"], both["last"]
 
 
 def local6(digits: Column) -> Column:

@@ -203,6 +203,53 @@ def test_ranges_and_rules_of_both_families(spark, monkeypatch):
     assert {r.why for r in firewall.decide(requests, rules, exempt_superusers=False).filter("superuser").collect()} == {"not listed"}
 
 
+@pytest.mark.parametrize("small", [10_000, 20, 0])
+def test_rules_meet_addresses_by_prefix(spark, monkeypatch, small):
+    """Random rules of all lengths, some repeated, against the standard library; no nested loop, whatever goes along."""
+    import ipaddress
+
+    monkeypatch.setattr(firewall, "SMALL", small)
+    rng = random.Random(7)
+
+    def number(family, base, free):
+        bits = 32 if family == 4 else 128
+        return (base << (bits - 16)) + (rng.getrandbits(free) << rng.randrange(bits - 16 - free))
+
+    def address(family):
+        a = (ipaddress.IPv4Address if family == 4 else ipaddress.IPv6Address)(number(family, rng.choice([0x0A00, 0x1401] if family == 4 else [0x2001, 0x2002]), 4))
+        return str(a)
+
+    families = [rng.choice([4, 6]) for _ in range(400)]
+    ips = sorted({address(f) for f in families} | {"255.255.255.255", "0.0.0.1", "ffff::", "nonsense"})
+    rows = [(rng.choice(["deny", "allow"]), rng.choice(["app", "replication"]), "cidr", f"{address(f)}/{rng.randrange(10 if k % 9 else 0, 33 if f == 4 else 129)}", True) for k, f in enumerate(families[:150])]
+    rows += [("deny", "app", "ip", address(f), True) for f in families[:20]] + rows[:9] + [("deny", "app", "country", " xx ", True)]
+    requests = spark.createDataFrame([(ip, scope, False, c, None) for ip in ips for scope in ("app", "replication") for c in (None, "Xx")], "ip string, scope string, superuser boolean, country string, region string")
+    found = firewall.decide(requests, firewall.compiled(firewall.judge_rules(spark.createDataFrame(rows, "action string, scope string, match_type string, value string, active boolean"), True, False)))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def inside(ip, rule):
+        try:
+            a, net = ipaddress.ip_address(ip), ipaddress.ip_network(rule[3].strip(), strict=False)
+        except ValueError:
+            return False
+        return a.version == net.version and a in net
+
+    def want(ip, scope, country):
+        hit = {r[0] for r in rows if r[1] == scope and (inside(ip, r) or (r[2] == "country" and country))}
+        return "denied" if "deny" in hit else "open" if "allow" in hit else "not listed"
+
+    got = {(r.ip, r.scope, r.country): r.why for r in found.collect()}
+    assert got == {k: want(*k) for k in got} and len(got) == 4 * len(ips) and set(got.values()) == {"denied", "open", "not listed"}
+
+
+def test_bounds_that_are_no_network(spark):
+    """A range from .3 to .12 holds these ten addresses, not the sixteen that share its first bits."""
+    rules = spark.createDataFrame([("deny", "app", "ip", "x", 3, 12, None, None), ("deny", "app", "ip", "y", None, None, f"{7:032x}", f"{9:032x}")], "action string, scope string, match_type string, value string, lo long, hi long, lo6 string, hi6 string")
+    ips = [f"0.0.0.{k}" for k in range(20)] + [f"::{k:x}" for k in range(2, 20)]
+    requests = spark.createDataFrame([(ip,) for ip in ips], "ip string").selectExpr("ip", "'app' scope", "false superuser", "cast(null as string) country", "cast(null as string) region")
+    assert {r.ip for r in firewall.decide(requests, rules).filter("why = 'denied'").collect()} == {f"0.0.0.{k}" for k in range(3, 13)} | {"::7", "::8", "::9"}
+
+
 def test_clock_carries_and_capture_goes_on(spark):
     """70 000 changes in one millisecond, then some in the next and one before the wall: values rise strictly."""
     changes = spark.range(70_010).selectExpr("id AS change_no", "if(id < 70000, 5, if(id < 70009, 6, 3)) AS ms", "false AS deleted", "'c' AS col_id", "cast(id AS string) AS record_id", "named_struct('x', id) AS fields")
