@@ -1,7 +1,9 @@
-"""The folds as streams: the log is read file by file, and the last state must equal the batch result."""
+"""The folds as streams: the log is read some files at a time, and the last state must equal the batch result."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from opfold.operators import log
@@ -12,12 +14,17 @@ from opfold.streaming import ingest
 WIRE = ["src_node", "src_seq", "hlc", "op_type", "col_id", "record_id", "payload", "created", "event_id"]
 
 
+#: Operations a file: what one task of a batch puts in order.
+FILE_ROWS = 1 << 18
+
+
 def replayed(spark, d, name: str, parts: int = 3):
-    """The log written as so many files, read back as a stream of one file a batch."""
+    """The log written as files of about ``FILE_ROWS`` operations, read back as a stream of so many batches."""
     path = f"{ingest.work_dir(spark, name)}"
     ops = tables.oplog(spark, d).select(*WIRE)
-    ops.repartition(parts, F.col("event_id") % parts).write.parquet(f"{path}/log")
-    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log"), path
+    each = max(1, math.ceil(tables.table(spark, d, "events").count() / FILE_ROWS / parts))  # files a batch
+    ops.repartition(parts * each, "event_id").write.parquet(f"{path}/log")
+    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", each).parquet(f"{path}/log"), path
 
 
 @query("stream_lww_state", f"WITH {LOG} SELECT col_id, record_id, op_type, payload, hlc, src_node FROM (SELECT *, {LATEST} AS k FROM oplog) WHERE k = 1")

@@ -167,6 +167,22 @@ def test_replayed_batch_overwrites_its_own_version(spark, tmp_path):
     assert state.at(0).count() == 1
 
 
+def test_stream_sorts_no_whole_batch(spark, sf_dir, monkeypatch):
+    """Batches of several bounded files, some operations delivered again: the state is the batch result."""
+    from opfold.plans import stream_queries
+
+    whole = tables.oplog(spark, sf_dir)
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 100)
+    stream, path = stream_queries.replayed(spark, sf_dir, "test")
+    files = spark.read.parquet(f"{path}/log").groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 3 * -(-whole.count() // 300) and max(r["count"] for r in files) < 200
+    again = spark.read.parquet(f"{path}/log").filter("event_id % 5 = 0").repartition(2)
+    again.write.mode("append").parquet(f"{path}/log")
+    state = ingest.StateTable(spark, f"{path}/state", "col_id string, record_id string, op_type string, payload string, hlc string, src_node string")
+    last = ingest.ingest(stream, state, f"{path}/checkpoint")
+    assert 3 <= last + 1 <= 4 and sorted(map(tuple, state.at(last).collect())) == sorted(map(tuple, fold.winners(whole).select(*state.at(last).columns).collect()))
+
+
 def test_addresses_of_six(spark):
     import ipaddress
 
